@@ -22,6 +22,7 @@ LOWERCASE = (_B >= 97) & (_B <= 122)
 DIGIT = (_B >= 48) & (_B <= 57)
 SPACE = (_B == 32) | ((_B >= 9) & (_B <= 13))
 HIGH = _B >= 128
+MARK = np.isin(_B, np.frombuffer(b"!#$%&*|~^@+=<>", np.uint8))
 WORD = UPPER | LOWERCASE | DIGIT | HIGH
 FOLD = np.where(UPPER, _B + 32, _B).astype(np.uint8)
 SAME = _B.astype(np.uint8)
@@ -127,14 +128,18 @@ def bigrams(h: np.ndarray, toks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return two[keep], offs
 
 
-def distinct(h: np.ndarray, toks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(48-bit hashes, each once a document; offsets by document). Documents of a group number under 65,536."""
+def doubled(h: np.ndarray, toks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features, offsets by document): each hash of a document once for every power of two up to its number of occurrences, so that counts matter, but slowly. Documents of a group number under 65,536."""
     doc = np.repeat(np.arange(len(toks) - 1, dtype=np.uint64), np.diff(toks))
     key = np.sort((doc << np.uint64(48)) | (h >> np.uint64(16)))
-    if len(key):
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    offs = np.searchsorted(key, np.arange(len(toks), dtype=np.uint64) << np.uint64(48))
-    return key & np.uint64((1 << 48) - 1), offs
+    if not len(key):
+        return key, np.zeros(len(toks), np.int64)
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    times = np.frexp(np.diff(np.concatenate([at, [len(key)]])).astype(np.float64))[1]
+    offs = np.searchsorted(key[at], np.arange(len(toks), dtype=np.uint64) << np.uint64(48))
+    ends = np.concatenate([[0], np.cumsum(times)])
+    level = np.arange(ends[-1]) - np.repeat(ends[:-1], times)
+    return mix((np.repeat(key[at], times) << np.uint64(16)) + level.astype(np.uint64)), ends[offs]
 
 
 _NIBBLE = np.array([sum(((v >> j) & 1) << (16 * j) for j in range(4)) for v in range(16)], dtype=np.uint64)

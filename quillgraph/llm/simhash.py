@@ -1,7 +1,9 @@
 """Near-duplicate groups by SimHash, searched with the pigeonring principle.
 
-A document has three 64-bit SimHashes: one of its set of case-folded words,
-which is searched, and two of its set of adjacent word pairs, which confirm.
+A document has three 64-bit SimHashes: one of its case-folded words,
+which is searched, and two of its adjacent word pairs, which confirm. A word is
+a run of letters, digits and marks such as # or |; sentence punctuation is left
+out. A word counts once for each power of two up to its number of occurrences.
 Two documents are near duplicates if the word hashes differ in at most
 ``tau`` bits and the two pair hashes together in at most ``confirm`` bits.
 
@@ -47,17 +49,16 @@ def segments(tau: int) -> list[tuple[int, int]]:
 
 def fingerprint_arrays(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words, word hash, pair hash, second pair hash) by document. A document of one word has its word for a pair."""
-    s, e, toks = K.spans(raw, offs)
+    s, e, toks = K.spans(raw, offs, K.WORD | K.MARK)
     h = K.hashes(raw, s, e)
-    one, at = K.distinct(h, toks)
-    a = K.majority(K.mix(one), at)
+    a = K.majority(*K.doubled(h, toks))
     two, pairs = K.bigrams(h, toks)
     lone = np.flatnonzero(np.diff(toks) == 1)
     if len(lone):
         two = np.insert(two, pairs[lone], h[toks[lone]])
         pairs = np.concatenate([[0], np.cumsum(np.maximum(np.diff(toks) - 1, 0) + (np.diff(toks) == 1))])
-    two, at = K.distinct(two, pairs)
-    return np.diff(toks), a, K.majority(K.mix(two), at), K.majority(K.mix(two * _SECOND + np.uint64(1)), at)
+    two, at = K.doubled(two, pairs)
+    return np.diff(toks), a, K.majority(two, at), K.majority(K.mix(two * _SECOND + np.uint64(1)), at)
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
