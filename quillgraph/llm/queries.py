@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import mixing, pii, quality, simhash, suffix, tokens, toxicity
+from quillgraph.llm import mixing, pii, quality, ratio, simhash, suffix, tokens, toxicity
 from quillgraph.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ratio.rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,5 +40,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_simhash_near_dedup, op5_quality_classifier, op7_toxicity, op8_token_counts, op9_decontamination, op10_pii)}
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_simhash_near_dedup, op5_quality_classifier, op6_quality_rules, op7_toxicity, op8_token_counts, op9_decontamination, op10_pii)}
 SQL: dict[str, str] = {"op2_source_mixing": mixing.sql()}
