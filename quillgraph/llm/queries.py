@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import mixing, pii, quality, ratio, simhash, suffix, tokens, toxicity
+from quillgraph.llm import langid, mixing, pii, quality, ratio, secrets, simhash, suffix, tokens, toxicity
 from quillgraph.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
@@ -16,6 +20,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"))
 
@@ -40,5 +48,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_simhash_near_dedup, op5_quality_classifier, op6_quality_rules, op7_toxicity, op8_token_counts, op9_decontamination, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_simhash_near_dedup, op4_secret_scan, op5_quality_classifier, op6_quality_rules, op7_toxicity, op8_token_counts, op9_decontamination, op10_pii)}
 SQL: dict[str, str] = {"op2_source_mixing": mixing.sql()}
