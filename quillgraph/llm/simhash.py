@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import kernel as K
-from quillgraph.llm.common import cut, forget, texts
+from quillgraph.llm.common import BROADCAST_BYTES, cut, forget, texts
 
 TAU, CONFIRM = 10, 38
 _SECOND = np.uint64(0x5851F42D4C957F2D)
@@ -212,15 +212,22 @@ def near_groups(df: DataFrame, tau: int = TAU, confirm: int = CONFIRM, id_col: s
     """(doc_id, kept_doc_id) for every document of a group of two or more, the kept one included."""
     prints = cut(fingerprints(df, id_col, text_col).where("words > 0 and doc_id is not null").drop("words"))
     same = cut(prints.groupBy("h1", "h2", "h3").agg(F.min("doc_id").alias("node")))
-    comp = components(edges(same.select("node", "h1", "h2", "h3"), tau, confirm))
-    head = same.join(comp, "node", "left").withColumn("kept_doc_id", F.coalesce("root", "node"))
-    docs = prints.join(head.select("h1", "h2", "h3", "kept_doc_id"), ["h1", "h2", "h3"]).select("doc_id", "kept_doc_id").distinct()
+    owned = cut(prints.join(same, ["h1", "h2", "h3"]).select("doc_id", "node").distinct())
+    # a doc_id whose rows have different texts links their fingerprints
+    several = owned.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
+    links = edges(same.select("node", "h1", "h2", "h3"), tau, confirm).unionByName(owned.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b")))
+    comp = components(links)
+    docs = owned.join(comp, "node", "left").select("doc_id", F.coalesce("root", "node").alias("kept_doc_id")).distinct()
     moved = docs.where("doc_id <> kept_doc_id")
     return moved.unionByName(moved.select(F.col("kept_doc_id").alias("doc_id"), "kept_doc_id").distinct())
 
 
 def drop_near_duplicates(df: DataFrame, **how) -> DataFrame:
-    """The rows of ``df`` without the documents whose group keeps another one; all columns as they are."""
+    """The rows of ``df`` without the documents whose group keeps another one; all columns as they are.
+
+    The identifiers that go are broadcast if their counted size allows; else they are joined.
+    """
     id_col = how.get("id_col", "doc_id")
-    gone = near_groups(df, **how).where("doc_id <> kept_doc_id").select(F.col("doc_id").alias("__gone"))
-    return df.join(gone, df[id_col].cast("long") == F.col("__gone"), "left_anti")
+    gone = cut(near_groups(df, **how).where("doc_id <> kept_doc_id").select(F.col("doc_id").alias("__gone")))
+    small = gone.count() * 16 <= BROADCAST_BYTES
+    return df.join(F.broadcast(gone) if small else gone, df[id_col].cast("long") == F.col("__gone"), "left_anti")
