@@ -1,7 +1,8 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
 The network reads a text in windows of ``WINDOW`` bytes, from the left and from the
-right, starting from a zero state in each. A step is
+right, starting from a zero state in each; a text's last window is filled with a
+symbol of its own. A step is
 
     g = (1 + s(Wg[byte] + Ug h)) / 2,  c = s(Wc[byte] + Uc h),  h = h + g * (c - h)
 
