@@ -33,10 +33,10 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0..n modulo 2**64; kept and grown by doubling."""
+    """base ** 0..n modulo 2**64; kept, and grown by whole ``GROUP``s."""
     have = _powers.get(base)
     if have is None or len(have) <= n:
-        size = max(2 * GROUP, 1 << (n + 1).bit_length())
+        size = (n // GROUP + 2) * GROUP
         steps = np.full(size, base, dtype=np.uint64)
         steps[0] = 1
         _powers[base] = have = np.cumprod(steps, dtype=np.uint64)
@@ -110,7 +110,9 @@ def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndar
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
     p = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((table[raw].astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(raw))[: len(raw)], out=p[1:])
+    terms = (table.astype(np.uint64) + np.uint64(1))[raw]
+    terms *= _power(_BASE, len(raw))[: len(raw)]
+    np.cumsum(terms, out=p[1:])
     return mix((p[ends] - p[starts]) * _power(_INVERSE, len(raw))[starts])
 
 

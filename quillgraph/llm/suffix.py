@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm import kernel as K
 from quillgraph.llm.common import BROADCAST_BYTES, texts
 
-MIN_WORDS, LEAST_ITEM_WORDS, SHARD = 12, 5, 4 << 20
+MIN_WORDS, LEAST_ITEM_WORDS, SHARD = 12, 5, 2 << 20
 _BITS = 20
 MATCHES = "doc_id long, item_id long, words int, start int, `end` int, item_word int"
 
