@@ -8,7 +8,9 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 class Embeddings(ABC):
@@ -102,16 +104,15 @@ class RuleModel(LanguageModel):
 
 def embedded(rows: DataFrame, text: str, model: Embeddings, out: str = "vector") -> DataFrame:
     """``rows`` with the vector of a text column, a batch at a time."""
-    names = [*rows.columns, out]
+    names, at = [*rows.columns, out], rows.columns.index(text)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.copy()
-            b[out] = list(model.embed(b[text].fillna("").tolist())) if len(b) else []
-            yield b[names]
+            made = np.asarray(model.embed([t or "" for t in b.column(at).to_pylist()]), np.float32).reshape(b.num_rows, model.dimensions)
+            ends = pa.array(np.arange(b.num_rows + 1) * made.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, pa.array(made.ravel()))], names=names)
 
-    schema = rows.schema.add(out, "array<float>")
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))]))
 
 
 def extracted(chunks: DataFrame, model: LanguageModel, retries: int = 1) -> DataFrame:
@@ -132,6 +133,6 @@ def extracted(chunks: DataFrame, model: LanguageModel, retries: int = 1) -> Data
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [one(t or "") for t in b["content"]]
-            yield pd.DataFrame({"chunk_uuid": b["uuid"], "entities": [g["entities"] for g in got], "facts": [g["facts"] for g in got]})
+            yield pd.DataFrame({"chunk_uuid": b["uuid"].tolist(), "entities": [g["entities"] for g in got], "facts": [g["facts"] for g in got]})
 
     return chunks.select("uuid", "content").mapInPandas(run, "chunk_uuid string, entities array<struct<name:string,entity_type:string,summary:string>>, facts array<struct<subject:string,relationship:string,object:string,content:string,date_context:string,topics:array<string>>>")

@@ -55,7 +55,7 @@ def capitalised_hints(question: Column) -> Column:
 
 
 def csv_list(raw: Column) -> Column:
-    return F.filter(F.transform(F.split(raw, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def spaced(name: Column) -> Column:

@@ -94,7 +94,7 @@ def verified(members: DataFrame, decide: Callable[[list[dict]], list[list[int]]]
                 groups += [[idx[k] for k in g if 0 <= k < len(idx)] for g in decide([rows[k] for k in idx])]
         groups = merge_batches(groups)
         part = {m: min(g) for g in groups for m in g}
-        return pd.DataFrame({"uuid": pdf["uuid"], "root": pdf["root"], "part": [part.get(k, k) for k in range(len(rows))]})
+        return pd.DataFrame({"uuid": pdf["uuid"].tolist(), "root": pdf["root"].tolist(), "part": [part.get(k, k) for k in range(len(rows))]})
 
     return members.groupBy("root").applyInPandas(solve, "uuid string, root string, part long")
 

@@ -69,10 +69,10 @@ def pairs(rows: DataFrame, threshold: float = 0.7, key: str = "uuid", vector: st
         a = pdf[pdf["x_block"] == lo]
         b = a if lo == hi else pdf[pdf["x_block"] == hi]
         if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "score": []})
+            return pd.DataFrame({"a": np.array([], object), "b": np.array([], object), "score": np.array([], float)})
         s = _unit(a["x_vector"]) @ _unit(b["x_vector"]).T
         i, j = np.nonzero(s >= threshold - 1e-12)
-        x, y, v = a["x_key"].to_numpy()[i], b["x_key"].to_numpy()[j], s[i, j]
+        x, y, v = a["x_key"].to_numpy(object)[i], b["x_key"].to_numpy(object)[j], s[i, j]
         if lo == hi:
             keep = x < y
             x, y, v = x[keep], y[keep], v[keep]
@@ -90,14 +90,14 @@ def knn_join(queries: DataFrame, base: DataFrame, limit: int = 25, threshold: fl
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "match": [], "score": []})
+            return pd.DataFrame({"query": np.array([], object), "match": np.array([], object), "score": np.array([], float)})
         right = right.sort_values("m_key", kind="stable")
         s = np.clip(_unit(left["q_vector"]) @ _unit(right["m_vector"]).T, -1, 1)
         top = np.argsort(-s, axis=1, kind="stable")[:, :limit]
         i = np.repeat(np.arange(len(left)), top.shape[1])
         j = top.ravel()
         ok = s[i, j] >= threshold
-        return pd.DataFrame({"query": left["q_key"].to_numpy()[i[ok]], "match": right["m_key"].to_numpy()[j[ok]], "score": s[i[ok], j[ok]]})
+        return pd.DataFrame({"query": left["q_key"].to_numpy(object)[i[ok]], "match": right["m_key"].to_numpy(object)[j[ok]], "score": s[i[ok], j[ok]]})
 
     got = q.groupBy("q_block", "b").cogroup(m.groupBy("q", "m_block")).applyInPandas(meet, f"query {kq}, match {km}, score double")
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "match"))

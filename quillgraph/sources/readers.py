@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def markdown(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """(name, content) of Markdown files."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").option("recursiveFileLookup", recursive).text(path).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
+    return spark.read.text(path, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=recursive).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
 
 
 def converted(spark: SparkSession, path: str, convert: Callable[[bytes], str], glob: str = "*.pdf", recursive: bool = True) -> DataFrame:
@@ -20,7 +20,7 @@ def converted(spark: SparkSession, path: str, convert: Callable[[bytes], str], g
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"name": b["name"], "content": [convert(bytes(x)) for x in b["content"]]})
+            yield pd.DataFrame({"name": b["name"].tolist(), "content": [convert(bytes(x)) for x in b["content"]]})
 
     return files.mapInPandas(run, "name string, content string")
 
