@@ -274,6 +274,37 @@ def test_ratio_keeps_clean(docs, labels):
     assert r["good"] > 0.99 and r["bad"] < 0.25
 
 
+def test_ratio_counts_every_ngram(spark, docs, labels):
+    """No n-gram shares its count with another, however many there are, and blocks and chunks don't matter."""
+    small = docs.where("doc_id < 300")
+    rows = small.collect()
+    good = {r.doc_id for r in labels.where("quality = 1 and toxic = 0").collect()}
+
+    def grams(t):
+        w = re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+|[!#$%&*|~^@+=<>]+", t)
+        return w + list(zip(w, w[1:]))
+
+    every, target = Counter(), Counter()
+    for r in rows:
+        every.update(grams(r.text))
+        if r.doc_id in good:
+            target.update(grams(r.text))
+    share = target.total() / every.total()
+    for how in ({}, {"chunk": 1 << 14, "share": 1 << 15}):
+        got = {r.doc_id: r for r in ratio.rules(small, labels, **how).collect()}
+        assert len(got) == len(rows)
+        for r in rows:
+            s = [np.log((target[g] + ratio.PRIOR) / (every[g] * share + ratio.PRIOR)) for g in grams(r.text)]
+            assert got[r.doc_id].ngrams == len(s) and (abs(got[r.doc_id].score - np.mean(s)) < 1e-5 if s else got[r.doc_id].score is None)
+
+
+def test_ratio_trusts_every_good_document(spark):
+    n = 20_500  # one n-gram each
+    table = spark.range(n).selectExpr("id doc_id", "concat('w', id) text")
+    got = ratio.rules(table, spark.range(n).selectExpr("id doc_id", "1 quality", "0 toxic")).agg({"score": "min", "doc_id": "count"}).first()
+    assert got["count(doc_id)"] == n and got["min(score)"] == 0  # every n-gram is as frequent in the target as in the raw corpus
+
+
 # 7
 
 
