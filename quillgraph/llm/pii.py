@@ -7,7 +7,8 @@ and validates:
 
 - email: local part to the left, dotted domain with an alphabetic last label to the right;
 - url: scheme to the first delimiter, trailing punctuation given back, a host is required;
-- phone: a plus sign followed by 8 to 15 digits with single separators or parentheses;
+- phone: a plus sign followed by 8 to 15 digits with single separators or parentheses, at most as many as its country has,
+  up to the start of another number;
 - ip: four numbers of at most 255 joined by dots, not part of a longer dotted number;
 - ssn: 3-2-4 digits joined by hyphens, none of the impossible groups;
 - iban: two letters and check digits, 15 to 34 characters, remainder 97 checked;
@@ -40,6 +41,8 @@ _LOCAL = _ALNUM | frozenset("._%+-")
 _DOMAIN = _ALNUM | frozenset(".-")
 _URL_END = frozenset(" \t\r\n\"'<>`{}|\\^")
 _SCHEMES = ("http://", "https://", "ftp://", "www.")
+#: Most digits of a telephone number by country code, the code included.
+_LONGEST = {"1": 11, "7": 11, "31": 11, "32": 11, "33": 11, "34": 11, "39": 13, "41": 11, "44": 12, "45": 10, "46": 12, "47": 10, "48": 11, "52": 13, "55": 13, "61": 11, "81": 12, "86": 13, "91": 12}
 IBAN_COUNTRIES = "AD AE AL AT AZ BA BE BG BH BR CH CR CY CZ DE DK DO EE ES FI FO FR GB GE GI GL GR GT HR HU IE IL IS IT JO KW KZ LB LI LT LU LV MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SE SI SK SM TN TR UA VG XK".split()
 
 
@@ -77,12 +80,23 @@ def url(t: str, at: int, scheme: str) -> tuple[int, int] | None:
 def phone(t: str, at: int) -> tuple[int, int] | None:
     if at > 0 and t[at - 1] in _ALNUM:
         return None
-    i, n, digits, end, depth = at + 1, len(t), 0, at, 0
+    most = next((m for c, m in _LONGEST.items() if t.startswith(c, at + 1)), 15)
+    return _telephone(t, at, most) or (_telephone(t, at, 15) if most < 15 else None)
+
+
+def _telephone(t: str, at: int, most: int) -> tuple[int, int] | None:
+    """The longest span of 8 to ``most`` digits that ends where digits end."""
+    i, n, digits, end, depth = at + 1, len(t), 0, None, 0
     while i < n and i - at < 32:
         c = t[i]
         if c in _DIGITS:
+            if end and t[i - 1] not in _DIGITS and number(t, i):
+                break
             digits += 1
-            end = i + 1
+            if digits > most:
+                break
+            if digits >= 8 and not (i + 1 < n and t[i + 1] in _ALNUM):
+                end = i + 1
         elif c == "(" and not depth:
             depth = 1
         elif c == ")" and depth:
@@ -90,9 +104,7 @@ def phone(t: str, at: int) -> tuple[int, int] | None:
         elif c not in " -./" or t[i - 1] in "-./" or c == " " and t[i - 1] == " ":
             break
         i += 1
-    if not 8 <= digits <= 15 or end < n and t[end] in _ALNUM:
-        return None
-    return at, end
+    return (at, end) if end else None
 
 
 def luhn(digits: str) -> bool:
@@ -183,6 +195,8 @@ def spans(t: str | None, anchors: ahocorasick.Automaton) -> list[tuple[int, int,
             got = email(t, at) if kind == "email" else phone(t, at) if kind == "phone" else iban(t, at) if kind == "iban" else url(t, at, t[at : end + 1])
             if got:
                 found.append((*got, kind))
+                if kind in ("phone", "url"):  # the numbers inside are part of it
+                    past = max(past, got[1])
     if len(found) > 1:
         found.sort(key=lambda s: (s[0], -s[1], KINDS.index(s[2])))
         kept: list[tuple[int, int, str]] = []

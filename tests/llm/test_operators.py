@@ -440,6 +440,24 @@ def test_pii(text, want):
     assert [(k, text[a:z]) for a, z, k in pii.spans(text, pii.automaton())] == want
 
 
+@pytest.mark.parametrize("text, want", [
+    ("+1 (826) 555-4081 190.137.223.204", [("phone", "+1 (826) 555-4081"), ("ip", "190.137.223.204")]),
+    ("+1 (843) 555-7672 170.106.47.218.", [("phone", "+1 (843) 555-7672"), ("ip", "170.106.47.218")]),
+    ("+44 20 7946 0958 10.0.0.1", [("phone", "+44 20 7946 0958"), ("ip", "10.0.0.1")]),
+    ("+1 826 555 4081 4111 1111 1111 1111", [("phone", "+1 826 555 4081"), ("card", "4111 1111 1111 1111")]),
+    ("+1 (826) 555-4081 123456789012", [("phone", "+1 (826) 555-4081"), ("account", "123456789012")]),
+    ("+370 612 34567 123-45-6789", [("phone", "+370 612 34567"), ("ssn", "123-45-6789")]),
+    ("+1 (826) 555-4081 12 of", [("phone", "+1 (826) 555-4081")]),
+    ("+44 20 7946 0958 12 of", [("phone", "+44 20 7946 0958")]),
+    ("+1 826 555 4081 2nd", [("phone", "+1 826 555 4081")]),
+    ("+49 1512 3456 789", [("phone", "+49 1512 3456 789")]),
+    ("+1 212 55512345", [("phone", "+1 212 55512345")]),
+    ("+12345678901234567", [("account", "12345678901234567")]),
+])
+def test_pii_telephone_before_a_number(text, want):
+    assert [(k, text[a:z]) for a, z, k in pii.spans(text, pii.automaton())] == want
+
+
 def test_pii_redacts(spark, odd):
     got = pii.redact(spark.createDataFrame([(1, "a x@y.com b", 9)], "doc_id int, text string, n_chars int")).first()
     assert tuple(got) == (1, "a <EMAIL> b", 11)
