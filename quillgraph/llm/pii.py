@@ -1,8 +1,8 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick automaton finds every anchor of a text in one pass: at-signs,
-URL schemes and cues of telephone, card, account, social security and network
-numbers. At each anchor a deterministic parser expands to the exact boundaries
+URL schemes, plus signs, digits, IBAN countries and, in any case, cue words of
+telephone, card, account, routing and social security numbers. At each anchor a deterministic parser expands to the exact boundaries
 and validates:
 
 - email: local part to the left, dotted domain with an alphabetic last label to the right;
@@ -12,7 +12,11 @@ and validates:
 - ip: four numbers of at most 255 joined by dots, not part of a longer dotted number;
 - ssn: 3-2-4 digits joined by hyphens, none of the impossible groups;
 - iban: two letters and check digits, 15 to 34 characters, remainder 97 checked;
-- account: runs of 12 to 19 digits with single blanks or hyphens; kind "card" if the Luhn check holds.
+- account: 12 to 19 digits, together or in fours with single blanks or hyphens; kind "card" if there are 13 and the Luhn
+  check holds. Grouped otherwise (4-6-5, 4-6-4, or any whole run with one separator), only cards are found;
+- after a cue word ("tel", "phone", "account", "acct", "routing", "ssn", "card"; "no.", "number", "is", a colon or # may
+  follow): 7 to 12 digits of a telephone number, 6 to 19 of an account, 9 of a routing number (kind "account"), 12 to 19 of a
+  card in any groups, 3-2-4 of an ssn with or without single separators.
 
 Digits are their own cue: an anchor is then the first digit of a run. Spans of a
 text do not overlap: the earliest wins, then the longest, then the first kind in
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import product
 
 import ahocorasick
 import pyarrow as pa
@@ -66,7 +71,7 @@ def email(t: str, at: int) -> tuple[int, int] | None:
 
 
 def url(t: str, at: int, scheme: str) -> tuple[int, int] | None:
-    if at > 0 and t[at - 1] in _ALNUM or scheme == "www." and t[max(0, at - 3) : at] == "://":
+    if at > 0 and t[at - 1] in _ALNUM or scheme.lower() == "www." and t[max(0, at - 3) : at] == "://":
         return None
     hi, n = at + len(scheme), len(t)
     while hi < n and t[hi] not in _URL_END:
@@ -84,8 +89,8 @@ def phone(t: str, at: int) -> tuple[int, int] | None:
     return _telephone(t, at, most) or (_telephone(t, at, 15) if most < 15 else None)
 
 
-def _telephone(t: str, at: int, most: int) -> tuple[int, int] | None:
-    """The longest span of 8 to ``most`` digits that ends where digits end."""
+def _telephone(t: str, at: int, most: int, least: int = 8) -> tuple[int, int] | None:
+    """The longest span of ``least`` to ``most`` digits behind ``at`` that ends where digits end."""
     i, n, digits, end, depth = at + 1, len(t), 0, None, 0
     while i < n and i - at < 32:
         c = t[i]
@@ -95,7 +100,7 @@ def _telephone(t: str, at: int, most: int) -> tuple[int, int] | None:
             digits += 1
             if digits > most:
                 break
-            if digits >= 8 and not (i + 1 < n and t[i + 1] in _ALNUM):
+            if digits >= least and not (i + 1 < n and t[i + 1] in _ALNUM):
                 end = i + 1
         elif c == "(" and not depth:
             depth = 1
@@ -133,6 +138,11 @@ def number(t: str, at: int) -> tuple[int, int, str] | None:
             a, b, c = m.group().split("-")
             if a not in ("000", "666") and a[0] != "9" and b != "00" and c != "0000":
                 return at, m.end(), "ssn"
+    if first < 12:
+        for shape in (_CARD, _GROUPS):
+            m = shape.match(t, at)
+            if m and 13 <= len(digits := _plain(m.group())) <= 19 and luhn(digits):
+                return at, m.end(), "card"
     m = _ACCOUNT.match(t, at)
     if m:
         digits = m.group().replace(" ", "").replace("-", "")
@@ -140,6 +150,49 @@ def number(t: str, at: int) -> tuple[int, int, str] | None:
     return None
 
 
+def _plain(s: str) -> str:
+    return "".join(c for c in s if c in _DIGITS)
+
+
+def cued(t: str, at: int, word: str) -> tuple[int, int, str] | None:
+    """The span and kind of the number that the cue word at ``at`` announces."""
+    if at > 0 and t[at - 1] in _ALNUM:
+        return None
+    m = _CUE[word].match(t, at)
+    if not m:
+        return None
+    lo = m.end()
+    if word in ("tel", "phone"):
+        first = lo + (t[lo : lo + 1] == "(")
+        if t[first : first + 1] not in _DIGITS_ or number(t, first):
+            return None
+        most = 12 if t[first] == "0" else 11 if t[first] == "1" else 10
+        got = _telephone(t, lo - 1, most, 7) or _telephone(t, lo - 1, 12, 7)
+        return (lo, got[1], "phone") if got else None
+    if t[lo : lo + 1] not in _DIGITS_:
+        return None
+    if word == "ssn":
+        m = _SSN_CUED.match(t, lo)
+        if m and (d := _plain(m.group())) and d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000":
+            return lo, m.end(), "ssn"
+        return None
+    m = (_CUED_CARD if word == "card" else _CUED_ROUTING if word == "routing" else _CUED_ACCOUNT).match(t, lo)
+    if not m or word == "card" and not 12 <= len(_plain(m.group())) <= 19 or not 6 <= len(_plain(m.group())) <= 19:
+        return None
+    digits = _plain(m.group())
+    return lo, m.end(), "card" if 13 <= len(digits) and luhn(digits) else "account"
+
+
+_DIGITS_ = tuple("0123456789")
+_CARD = re.compile(r"[0-9]{4}([ -])[0-9]{6}\1[0-9]{4,5}(?![0-9A-Za-z]|-[0-9])")
+_GROUPS = re.compile(r"[0-9]+([ -])[0-9]+(?:\1[0-9]+)*(?![0-9A-Za-z]|[ -][0-9])")
+_FILL = r"(?:[ \t]*(?:numbers?\b|num\b|no\b|nr\b|is\b|[.:#=]|-(?![0-9]))){0,5}[ \t]*"
+_CUE = {w: re.compile(x + _FILL, re.I) for w, x in {"tel": "tel(?:ephone)?", "phone": "phones?", "account": "accounts?", "acct": "accts?", "routing": "routing", "ssn": "ssn", "card": "cards?"}.items()}
+_SSN_CUED = re.compile(r"[0-9]{3}([ -]?)[0-9]{2}\1[0-9]{4}(?![0-9A-Za-z]|-[0-9])")
+_CUED_ROUTING = re.compile(r"[0-9]{9}(?![0-9A-Za-z]|-[0-9])|[0-9]{4}([ -])[0-9]{4}\1[0-9](?![0-9A-Za-z]|-[0-9])")
+_CUED_CARD = re.compile(r"[0-9]+(?:([ -])[0-9]+(?:\1[0-9]+)*)?(?![0-9A-Za-z]|-[0-9])")
+#: One run, or groups of a shorter first one.
+_CUED_ACCOUNT = re.compile(r"(?:[0-9]{6,19}(?:-[0-9]+)*|[0-9]{1,5}(?:([ -])[0-9]+(?:\1[0-9]+)*))(?![0-9A-Za-z]|-[0-9])")
 _IP = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])")
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])")
 _ACCOUNT = re.compile(r"(?:[0-9]{12,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,4})?)(?![0-9A-Za-z]|[-][0-9])")
@@ -158,11 +211,19 @@ def iban(t: str, at: int) -> tuple[int, int] | None:
     return (at, m.end()) if int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1 else None
 
 
+def _cases(s: str) -> list[str]:
+    return ["".join(x) for x in product(*({c, c.upper()} for c in s))]
+
+
 def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     a.add_word("@", ("email", 1))
     for s in _SCHEMES:
-        a.add_word(s, ("url", len(s)))
+        for x in _cases(s):
+            a.add_word(x, ("url", len(s)))
+    for s in _CUE:
+        for x in _cases(s):
+            a.add_word(x, ("cue " + s, len(s)))
     a.add_word("+", ("phone", 1))
     for d in "0123456789":
         a.add_word(d, ("number", 1))
@@ -191,6 +252,10 @@ def spans(t: str | None, anchors: ahocorasick.Automaton) -> list[tuple[int, int,
             if got := number(t, at):
                 found.append(got)
                 past = got[1]
+        elif kind.startswith("cue "):
+            if got := cued(t, at, kind[4:]):
+                found.append(got)
+                past = max(past, got[1])
         else:
             got = email(t, at) if kind == "email" else phone(t, at) if kind == "phone" else iban(t, at) if kind == "iban" else url(t, at, t[at : end + 1])
             if got:

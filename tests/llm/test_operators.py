@@ -458,6 +458,31 @@ def test_pii_telephone_before_a_number(text, want):
     assert [(k, text[a:z]) for a, z, k in pii.spans(text, pii.automaton())] == want
 
 
+@pytest.mark.parametrize("text, want", [
+    ("Tel. (212) 555-7713.", [("phone", "(212) 555-7713")]),
+    ("phone 212-555-7713 12 of", [("phone", "212-555-7713")]),
+    ("PHONE: 555-7713", [("phone", "555-7713")]),
+    ("Telephone 1 212 555 7713", [("phone", "1 212 555 7713")]),
+    ("tel 10.0.0.12", [("ip", "10.0.0.12")]),
+    ("hotel 5557713, phones in 2019", []),
+    ("account no. 12345678", [("account", "12345678")]),
+    ("Acct # 1234-5678-90", [("account", "1234-5678-90")]),
+    ("Account 12345678 10 May", [("account", "12345678")]),
+    ("accounts of 2019 and 12345678", []),
+    ("Routing number: 021000021", [("account", "021000021")]),
+    ("SSN 123 45 6789", [("ssn", "123 45 6789")]),
+    ("ssn is 123456789", [("ssn", "123456789")]),
+    ("ssn 000 45 6789", []),
+    ("3782 822463 10005", [("card", "3782 822463 10005")]),
+    ("3782-822463-10005 12", [("card", "3782-822463-10005")]),
+    ("41 1111 1111 1111 11", [("card", "41 1111 1111 1111 11")]),
+    ("card no 411111 1111111112", [("account", "411111 1111111112")]),
+    ("HTTPS://Example.org/a and Www.example.org", [("url", "HTTPS://Example.org/a"), ("url", "Www.example.org")]),
+])
+def test_pii_cues(text, want):
+    assert [(k, text[a:z]) for a, z, k in pii.spans(text, pii.automaton())] == want
+
+
 def test_pii_redacts(spark, odd):
     got = pii.redact(spark.createDataFrame([(1, "a x@y.com b", 9)], "doc_id int, text string, n_chars int")).first()
     assert tuple(got) == (1, "a <EMAIL> b", 11)
