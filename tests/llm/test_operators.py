@@ -322,6 +322,21 @@ def test_toxicity_held_out(spark):
     assert len(found & toxic) >= 0.9 * len(toxic - blank) and len(found & toxic) >= 0.88 * len(toxic) and len(found & clean) <= 0.005 * len(clean)
 
 
+def test_toxicity_in_a_long_text(spark):
+    at = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    clean = [r.text for r in docs.join(labels.where("toxic = 0 and quality = 1"), "doc_id").where("lang = 'en'").orderBy("doc_id").limit(150).collect()]
+    pair = toxicity.compressors(model.ordinary, model.toxic)
+    clean = " ".join(t for t in clean if toxicity.score(toxicity.fold(t), *pair)[0] == 0)
+    assert len(clean) > 100_000
+    half = len(clean) // 2
+    passage = " You pathetic worthless idiot, you disgusting moron and stupid trash clown, you are scum and a worthless loser. "
+    rows = [(1, passage), (2, clean), (3, clean[:half] + passage + clean[half:])]
+    got = {r.doc_id: r.toxic for r in toxicity.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got == {1: True, 2: False, 3: True}
+
+
 # 8
 
 
