@@ -4,7 +4,8 @@ A batch of documents is one byte array plus document offsets. Everything here
 works on whole arrays, so the cost is a few nanoseconds a byte and no Python
 object is made for a word. Batches are cut into groups of whole documents of
 about ``GROUP`` bytes, which bounds the memory of temporaries and keeps them in
-cache; a longer document forms a group of its own.
+cache; a longer document forms a group of its own, of which only arrays by word and
+single bytes by byte are held at once.
 """
 
 from __future__ import annotations
@@ -32,15 +33,13 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0..n modulo 2**64; kept, and grown by whole ``GROUP``s."""
-    have = _powers.get(base)
-    if have is None or len(have) <= n:
-        size = (n // GROUP + 2) * GROUP
-        steps = np.full(size, base, dtype=np.uint64)
+def _power(base: int) -> np.ndarray:
+    """base ** 0..GROUP modulo 2**64, kept."""
+    if base not in _powers:
+        steps = np.full(GROUP + 1, base, dtype=np.uint64)
         steps[0] = 1
-        _powers[base] = have = np.cumprod(steps, dtype=np.uint64)
-    return have
+        _powers[base] = np.cumprod(steps, dtype=np.uint64)
+    return _powers[base]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -105,15 +104,37 @@ def spans(raw: np.ndarray, offs: np.ndarray, inside: np.ndarray = WORD) -> tuple
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def _prefix(part: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Prefix sums of the polynomial of at most ``GROUP`` bytes."""
+    p = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum((table.astype(np.uint64) + np.uint64(1))[part] * _power(_BASE)[: len(part)], out=p[1:])
+    return p
+
+
 def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = FOLD) -> np.ndarray:
-    """64-bit hash of every span, from prefix sums of a polynomial in an odd base modulo 2**64; ``table`` maps bytes first (case folding)."""
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
-    p = np.zeros(len(raw) + 1, np.uint64)
-    terms = (table.astype(np.uint64) + np.uint64(1))[raw]
-    terms *= _power(_BASE, len(raw))[: len(raw)]
-    np.cumsum(terms, out=p[1:])
-    return mix((p[ends] - p[starts]) * _power(_INVERSE, len(raw))[starts])
+    """64-bit hash of every span, from prefix sums of a polynomial in an odd base modulo 2**64; ``table`` maps bytes first (case folding).
+
+    Spans are in order and don't overlap. Prefix sums reach over at most ``GROUP`` bytes at a time, whatever the
+    length of a text; a span that is longer still is added up piece by piece.
+    """
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        at = int(starts[i])
+        j = int(np.searchsorted(ends, at + GROUP, "right"))
+        if j > i:
+            p = _prefix(raw[at : int(ends[j - 1])], table)
+            x = starts[i:j] - at
+            out[i:j] = (p[ends[i:j] - at] - p[x]) * _power(_INVERSE)[x]
+            i = j
+            continue
+        total, up = 0, 1
+        for k in range(at, int(ends[i]), GROUP):
+            total += up * int(_prefix(raw[k : min(k + GROUP, int(ends[i]))], table)[-1])
+            up = up * pow(_BASE, GROUP, 1 << 64) % (1 << 64)
+        out[i] = total % (1 << 64)
+        i += 1
+    return mix(out)
 
 
 def bigrams(h: np.ndarray, toks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,5 +204,18 @@ def majority(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Sum of ``values`` over each range of ``offs``."""
+    if len(offs) == 2:
+        return values[offs[0] : offs[1]].sum(dtype=np.float64 if values.dtype.kind == "f" else np.int64, keepdims=True)
     c = np.concatenate([[0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
     return c[offs[1:]] - c[offs[:-1]]
+
+
+def chars(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many characters begin before each of the byte positions ``at``, in one pass however many there are."""
+    each, where = np.unique(at, return_inverse=True)
+    edges = np.concatenate([[0], each])
+    n = np.zeros(len(edges), np.int64)
+    for k in range(0, len(raw), GROUP):  # the count of a piece goes to the first edge behind it
+        here = np.flatnonzero((raw[k : k + GROUP] & 0xC0) != 0x80) + k
+        n += np.bincount(np.searchsorted(edges, here, "right"), minlength=len(edges) + 1)[: len(edges)]
+    return np.cumsum(n)[1:][where]
