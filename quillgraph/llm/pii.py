@@ -5,10 +5,10 @@ URL schemes, plus signs, digits, IBAN countries and, in any case, cue words of
 telephone, card, account, routing and social security numbers. At each anchor a deterministic parser expands to the exact boundaries
 and validates:
 
-- email: local part to the left, dotted domain with an alphabetic last label to the right;
-- url: scheme to the first delimiter, trailing punctuation given back, a host is required;
-- phone: a plus sign followed by 8 to 15 digits with single separators or parentheses, at most as many as its country has,
-  up to the start of another number;
+- email: local part of at most 64 characters to the left, dotted domain with an alphabetic last label to the right;
+- url: scheme to the first delimiter, trailing punctuation given back, a host with a dot is required;
+- phone: a plus sign followed by 8 to 15 digits, at most as many as its country has, with single separators or parentheses and
+  no more than ``GAP`` signs between two digits, up to the start of another number;
 - ip: four numbers of at most 255 joined by dots, not part of a longer dotted number;
 - ssn: 3-2-4 digits joined by hyphens, none of the impossible groups;
 - iban: two letters and check digits, 15 to 34 characters, remainder 97 checked;
@@ -22,8 +22,10 @@ Digits are their own cue: an anchor is then the first digit of a run. Spans of a
 text do not overlap: the earliest wins, then the longest, then the first kind in
 the order above.
 
-Defined results. A null or empty text has no span. Offsets count characters.
-Repeated rows repeat their spans. Only the named columns are read.
+Defined results. A null or empty text has no span. A text of any length is read whole, in
+time in proportion to it: what the anchors of one unbroken run have in common is found once.
+Rows without an id have spans without one. Repeated rows repeat their spans. An empty table
+has none. Offsets count characters. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -44,8 +46,12 @@ _ALNUM = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01234567
 _DIGITS = frozenset("0123456789")
 _LOCAL = _ALNUM | frozenset("._%+-")
 _DOMAIN = _ALNUM | frozenset(".-")
-_URL_END = frozenset(" \t\r\n\"'<>`{}|\\^")
+_URL_END = re.compile("[ \\t\\r\\n\"'<>`{}|\\\\^]")
+_AUTHORITY_END = re.compile("[/?]")
+_NOT_DOMAIN = re.compile("[^A-Za-z0-9.-]")
 _SCHEMES = ("http://", "https://", "ftp://", "www.")
+#: What may follow a plus sign, and the most signs between two digits of a telephone number.
+_OPENS, GAP = tuple("0123456789( -./"), 4
 #: Most digits of a telephone number by country code, the code included.
 _LONGEST = {"1": 11, "7": 11, "31": 11, "32": 11, "33": 11, "34": 11, "39": 13, "41": 11, "44": 12, "45": 10, "46": 12, "47": 10, "48": 11, "52": 13, "55": 13, "61": 11, "81": 12, "86": 13, "91": 12}
 IBAN_COUNTRIES = "AD AE AL AT AZ BA BE BG BH BR CH CR CY CZ DE DK DO EE ES FI FO FR GB GE GI GL GR GT HR HU IE IL IS IT JO KW KZ LB LI LT LU LV MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SE SI SK SM TN TR UA VG XK".split()
@@ -70,20 +76,47 @@ def email(t: str, at: int) -> tuple[int, int] | None:
     return lo, hi
 
 
-def url(t: str, at: int, scheme: str) -> tuple[int, int] | None:
+class _Run:
+    """What the anchors of one unbroken run of a text share, so that each costs the same however long the run is."""
+
+    __slots__ = ("end", "last", "authority", "sign", "colon", "stray", "dot")
+
+    def __init__(self) -> None:
+        self.end = self.last = self.authority = self.sign = self.colon = self.stray = self.dot = -1
+
+
+def url(t: str, at: int, scheme: str, run: _Run) -> tuple[int, int] | None:
+    """``run`` holds what earlier anchors of the text found; anchors come from left to right."""
     if at > 0 and t[at - 1] in _ALNUM or scheme.lower() == "www." and t[max(0, at - 3) : at] == "://":
         return None
-    hi, n = at + len(scheme), len(t)
-    while hi < n and t[hi] not in _URL_END:
-        hi += 1
-    while hi > at and t[hi - 1] in ".,;:!?)]*#$%&":
-        hi -= 1
-    host = t[at + len(scheme) : hi].split("/")[0].split("?")[0].rsplit("@", 1)[-1].split(":")[0]
-    return (at, hi) if "." in host and host[0] in _ALNUM and all(c in _DOMAIN for c in host) else None
+    lo = at + len(scheme)
+    if run.end < lo:
+        run.end = m.start() if (m := _URL_END.search(t, lo)) else len(t)
+        hi = run.end
+        while hi > lo and t[hi - 1] in ".,;:!?)]*#$%&":
+            hi -= 1
+        run.last = hi  # the end of every address in this run, if it lies behind its host's beginning
+        run.authority = -1
+    hi = run.last
+    if hi <= lo:
+        return None
+    if run.authority < lo:  # the first slash or question mark, and the last at-sign before it
+        run.authority = m.start() if (m := _AUTHORITY_END.search(t, lo, hi)) else hi
+        run.sign = t.rfind("@", lo, run.authority)
+        run.colon = run.stray = run.dot = -1
+    host = max(lo, run.sign + 1)
+    if run.colon < host:
+        run.colon = x if (x := t.find(":", host, run.authority)) >= 0 else run.authority
+    if run.stray < host:
+        run.stray = m.start() if (m := _NOT_DOMAIN.search(t, host, run.authority)) else run.authority
+    if run.dot < host:
+        run.dot = x if (x := t.find(".", host, run.authority)) >= 0 else run.authority
+    end = run.colon
+    return (at, hi) if host < end <= run.stray and t[host] in _ALNUM and run.dot < end else None
 
 
 def phone(t: str, at: int) -> tuple[int, int] | None:
-    if at > 0 and t[at - 1] in _ALNUM:
+    if at > 0 and t[at - 1] in _ALNUM or t[at + 1 : at + 2] not in _OPENS:
         return None
     most = next((m for c, m in _LONGEST.items() if t.startswith(c, at + 1)), 15)
     return _telephone(t, at, most) or (_telephone(t, at, 15) if most < 15 else None)
@@ -91,9 +124,12 @@ def phone(t: str, at: int) -> tuple[int, int] | None:
 
 def _telephone(t: str, at: int, most: int, least: int = 8) -> tuple[int, int] | None:
     """The longest span of ``least`` to ``most`` digits behind ``at`` that ends where digits end."""
-    i, n, digits, end, depth = at + 1, len(t), 0, None, 0
-    while i < n and i - at < 32:
+    i, n, digits, end, depth, gap = at + 1, len(t), 0, None, 0, 0
+    while i < n:
         c = t[i]
+        gap = 0 if c in _DIGITS else gap + 1
+        if gap > GAP:
+            break
         if c in _DIGITS:
             if end and t[i - 1] not in _DIGITS and number(t, i):
                 break
@@ -120,7 +156,30 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def number(t: str, at: int) -> tuple[int, int, str] | None:
+def _rest(t: str, at: int, sep: str, runs: dict[int, tuple[int, int]]) -> tuple[int, int]:
+    """(digits, end) from the group of digits at ``at`` to the end of the groups that ``sep`` joins; a run is walked once and kept in ``runs`` by group."""
+    if at in runs:
+        return runs[at]
+    n, i, heads = len(t), at, []
+    while i < n and t[i] in _DIGITS:
+        j = i
+        while j < n and t[j] in _DIGITS:
+            j += 1
+        heads.append((i, j - i))
+        if j + 1 < n and t[j] == sep and t[j + 1] in _DIGITS:
+            i = j + 1
+        else:
+            i = j
+            break
+    total = 0
+    for head, size in reversed(heads):
+        total += size
+        if head != heads[-1][0]:  # the last group may begin a run of the other sign
+            runs[head] = (total, i)
+    return runs[at]
+
+
+def number(t: str, at: int, runs: dict[int, tuple[int, int]] | None = None) -> tuple[int, int, str] | None:
     """The span and kind of the number that starts at the digit ``at``, which no word character, dot or hyphen with digits before it precedes."""
     n, i = len(t), at
     while i < n and t[i] in _DIGITS:
@@ -138,14 +197,17 @@ def number(t: str, at: int) -> tuple[int, int, str] | None:
             a, b, c = m.group().split("-")
             if a not in ("000", "666") and a[0] != "9" and b != "00" and c != "0000":
                 return at, m.end(), "ssn"
-    if first < 12:
-        for shape in (_CARD, _GROUPS):
-            m = shape.match(t, at)
-            if m and 13 <= len(digits := _plain(m.group())) <= 19 and luhn(digits):
-                return at, m.end(), "card"
+    if first < 12 and sep in (" ", "-") and t[i + 1 : i + 2] in _DIGITS_:
+        m = _CARD.match(t, at)
+        if m and luhn(_plain(m.group())):
+            return at, m.end(), "card"
+        many, end = _rest(t, at, sep, {} if runs is None else runs)
+        whole = end == n or not (t[end] in _ALNUM or t[end] in " -" and t[end + 1 : end + 2] in _DIGITS_)
+        if whole and 13 <= many <= 19 and luhn(_plain(t[at:end])):
+            return at, end, "card"
     m = _ACCOUNT.match(t, at)
     if m:
-        digits = m.group().replace(" ", "").replace("-", "")
+        digits = _plain(m.group())
         return at, m.end(), "card" if 13 <= len(digits) and luhn(digits) else "account"
     return None
 
@@ -185,7 +247,6 @@ def cued(t: str, at: int, word: str) -> tuple[int, int, str] | None:
 
 _DIGITS_ = tuple("0123456789")
 _CARD = re.compile(r"[0-9]{4}([ -])[0-9]{6}\1[0-9]{4,5}(?![0-9A-Za-z]|-[0-9])")
-_GROUPS = re.compile(r"[0-9]+([ -])[0-9]+(?:\1[0-9]+)*(?![0-9A-Za-z]|[ -][0-9])")
 _FILL = r"(?:[ \t]*(?:numbers?\b|num\b|no\b|nr\b|is\b|[.:#=]|-(?![0-9]))){0,5}[ \t]*"
 _CUE = {w: re.compile(x + _FILL, re.I) for w, x in {"tel": "tel(?:ephone)?", "phone": "phones?", "account": "accounts?", "acct": "accts?", "routing": "routing", "ssn": "ssn", "card": "cards?"}.items()}
 _SSN_CUED = re.compile(r"[0-9]{3}([ -]?)[0-9]{2}\1[0-9]{4}(?![0-9A-Za-z]|-[0-9])")
@@ -240,6 +301,7 @@ def spans(t: str | None, anchors: ahocorasick.Automaton) -> list[tuple[int, int,
     found: list[tuple[int, int, str]] = []
     digit = -2
     past = 0  # end of the digit run that was parsed last
+    run, runs = _Run(), {}
     for end, (kind, size) in anchors.iter(t):
         at = end - size + 1
         if kind == "number":
@@ -249,7 +311,7 @@ def spans(t: str | None, anchors: ahocorasick.Automaton) -> list[tuple[int, int,
                 continue
             if at > 0 and (t[at - 1] in _ALNUM or t[at - 1] in ".-" and at > 1 and t[at - 2] in _DIGITS):
                 continue
-            if got := number(t, at):
+            if got := number(t, at, runs):
                 found.append(got)
                 past = got[1]
         elif kind.startswith("cue "):
@@ -257,7 +319,7 @@ def spans(t: str | None, anchors: ahocorasick.Automaton) -> list[tuple[int, int,
                 found.append(got)
                 past = max(past, got[1])
         else:
-            got = email(t, at) if kind == "email" else phone(t, at) if kind == "phone" else iban(t, at) if kind == "iban" else url(t, at, t[at : end + 1])
+            got = email(t, at) if kind == "email" else phone(t, at) if kind == "phone" else iban(t, at) if kind == "iban" else url(t, at, t[at : end + 1], run)
             if got:
                 found.append((*got, kind))
                 if kind in ("phone", "url"):  # the numbers inside are part of it
