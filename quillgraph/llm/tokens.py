@@ -11,9 +11,10 @@ boundaries counts whole in the section that holds most of its bytes, and in the
 earliest of those that hold equally many; it is also counted as crossing there.
 So the tokens of a document's sections add up to those of the document.
 
-Defined results. A null or empty text is one empty section of no tokens. Repeated
-rows each have their sections. Offsets count characters. Only the named columns
-are read.
+Defined results. A null or empty text is one empty section of no tokens. Rows
+without an id have sections without one. Repeated rows each have their sections. A
+text is encoded whole however long it is. An empty table has no sections. Offsets
+count characters. Only the named columns are read, whatever others there are.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ from quillgraph.llm.common import texts
 #: Ranks of a public byte-level vocabulary: a base64 token and its id a line.
 VOCABULARY = os.environ.get("QUILLGRAPH_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A stretch without white space longer than this is handed to the encoder in pieces, whose cost would otherwise grow faster than its length. The pieces end at character boundaries.
-STRETCH = 1 << 14
+#: White space of the pattern, in runs that are too long for its engine's stack.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{100000,}")
 COLUMNS = "doc_id long, section int, start int, `end` int, tokens int, crossing int"
 
 _loaded: dict[tuple[str, str], tuple[tiktoken.Encoding, np.ndarray]] = {}
@@ -54,20 +55,19 @@ def encoder(vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> tuple[tikto
     return _loaded[vocabulary, pattern]
 
 
-def pieces(text: str, stretch: int = STRETCH) -> Iterator[str]:
-    """The text, cut only inside stretches of more than ``stretch`` characters of one kind (white or not)."""
-    at = 0
-    for m in re.finditer(rf"\S{{{stretch + 1},}}|\s{{{stretch + 1},}}", text):
-        for cut in range(m.start() + stretch, m.end(), stretch):
-            yield text[at:cut]
-            at = cut
-    yield text[at:] if at else text
-
-
-def encode(text: str, enc: tiktoken.Encoding) -> list[int]:
-    if len(text) <= STRETCH:
+def encode(text: str, enc: tiktoken.Encoding, pattern: str = PATTERN) -> list[int]:
+    """The tokens of a whole text. The pattern takes a run of white space up to its last character as one piece, or to the end
+    of the text; where such a run would overflow the stack of the pattern's engine, that piece is handed to the encoder as it is."""
+    if len(text) < 100_000 or pattern != PATTERN:
         return enc.encode_ordinary(text)
-    return [i for p in pieces(text) for i in enc.encode_ordinary(p)]
+    out: list[int] = []
+    at = 0
+    for m in _BLANKS.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += enc.encode_ordinary(text[at : m.start()])
+        out += enc._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + enc.encode_ordinary(text[at:]) if at else enc.encode_ordinary(text)
 
 
 def attribute(raw: np.ndarray, offs: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,7 +104,7 @@ def sections(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTE
         for b in batches:
             column = b.column(1).fill_null("")
             for lo, hi, raw, offs in K.each_group(column):
-                ids = [encode(t, enc) for t in column.slice(lo, hi - lo).to_pylist()]
+                ids = [encode(t, enc, pattern) for t in column.slice(lo, hi - lo).to_pylist()]
                 flat = np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids)))
                 doc, section, first, last, count, crossing = attribute(raw, offs, size[flat])
                 c = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
