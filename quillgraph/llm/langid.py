@@ -1,39 +1,42 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-The network reads a text in windows of ``WINDOW`` bytes, from the left and from the
-right, starting from a zero state in each; a text's last window is filled with a
-symbol of its own. A step is
+The network reads a whole text from the left and from the right. A step is
 
     g = (1 + s(Wg[byte] + Ug h)) / 2,  c = s(Wc[byte] + Uc h),  h = h + g * (c - h)
 
 with s(x) = x / (1 + |x|), a quick relative of tanh, and the two states of a position give, through one linear layer and a softmax, the
 probability of each language there. Every byte of every text is labelled; a document's
 probabilities are the mean over its positions. It is trained in numpy by
-backpropagation through time on windows of at most ``FIT_ROWS`` labelled documents,
-up to ``FIT_WINDOWS`` from each, spread evenly over it, in classes of equal weight.
+backpropagation through time on stretches of ``FIT_BYTES`` bytes of at most ``FIT_ROWS`` labelled documents,
+up to ``FIT_STRETCHES`` from each, spread evenly over it, in classes of equal weight.
 
-Windows are batched by the thousand, so a step is one small matrix product for all.
+To use whole matrix products, a text is read in windows of ``WINDOW`` bytes side by side; its end is
+filled with a symbol of its own. The state is carried from window to window: a window begins with the state
+that its neighbour's last ``RUN_UP`` bytes lead to, and wherever that is off the neighbour's state by more than
+``CLOSE``, the window is read again from the neighbour's, until none is off. So states are those of reading the text in one go, within ``CLOSE``.
 
 Defined results. A null or empty text has no language and no probability, and 0
 positions. Ties go to the first language by name. Without labelled text no language is
-known, and every result is null. Repeated rows are each labelled. Only the named
-columns are read.
+known, and every result is null. An empty table has no result. Rows without an id and repeated rows are each labelled,
+and texts of any length are read whole. Only the named columns are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgraph.llm import kernel as K
 from quillgraph.llm.common import texts
 
-WINDOW, HIDDEN, FIT_ROWS, FIT_WINDOWS, BATCH, STEPS, RATE = 64, 8, 2000, 6, 384, 260, 0.03
+WINDOW, RUN_UP, CLOSE, HIDDEN = 256, 64, 0.01, 8
+FIT_ROWS, FIT_STRETCHES, FIT_BYTES, BATCH, STEPS, RATE = 2000, 6, 64, 384, 260, 0.03
 #: Windows that go through the network at once.
 TILE = 2048
 _PAD = 256  # the byte after a text's end
@@ -61,17 +64,17 @@ def soft(x: np.ndarray) -> np.ndarray:
     return x / (1 + np.abs(x))
 
 
-def states(x: np.ndarray, m: Model) -> np.ndarray:
-    """(position, both states, window): what each position knows of the bytes up to it from either side."""
+def states(x: np.ndarray, m: Model, begin: np.ndarray | None = None, ends: bool = False) -> np.ndarray:
+    """(position, both states, window): what each position knows of the bytes up to it from either side; begin: (direction, state, window) before the first byte. ends: only the last of either direction."""
     b, t = x.shape
     k = m.u.shape[1]
-    h = np.empty((t, 2 * k, b), np.float32)
+    h = np.empty((2, k, b) if ends else (t, 2 * k, b), np.float32)
     pre, got = np.empty((2 * k, b), np.float32), np.empty((2 * k, b), np.float32)
     g, c = pre[:k], pre[k:]
     columns = x.T.astype(np.intp)
     for d, order in enumerate((range(t), range(t - 1, -1, -1))):
         w, u = np.ascontiguousarray(m.w[d].T), np.ascontiguousarray(m.u[d].T)
-        last = np.zeros((k, b), np.float32)
+        last = np.zeros((k, b), np.float32) if begin is None else np.ascontiguousarray(begin[d])
         for j in order:
             np.take(w, columns[j], axis=1, out=got, mode="clip")
             np.matmul(u, last, out=pre)
@@ -83,20 +86,47 @@ def states(x: np.ndarray, m: Model) -> np.ndarray:
             g *= 0.5
             c -= last
             c *= g
-            now = h[j, d * k : (d + 1) * k]
+            now = h[d] if ends else h[j, d * k : (d + 1) * k]
             np.add(last, c, out=now)
             last = now
     return h
 
 
-def label(x: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(label by position and window, probabilities by position, language and window)."""
-    z = np.matmul(np.ascontiguousarray(m.out[:-1].T), states(x, m))
+def label(x: np.ndarray, m: Model, begin: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(label by position and window, probabilities by position, language and window, last states by direction and window)."""
+    h = states(x, m, begin)
+    k = m.u.shape[1]
+    z = np.matmul(np.ascontiguousarray(m.out[:-1].T), h)
     z += m.out[-1][:, None]
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
-    return z.argmax(axis=1), z
+    return z.argmax(axis=1), z, np.stack([h[-1, :k], h[0, k:]])
+
+
+def read(x: np.ndarray, at: np.ndarray, m: Model, use: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> None:
+    """Labels the windows of whole texts, with the state carried across; ``use`` gets their numbers, labels and probabilities, again for those that are read again."""
+    k, n = m.u.shape[1], len(x)
+    begin, end = np.zeros((2, k, n), np.float32), np.zeros((2, k, n), np.float32)
+    inner = np.ones(n + 1, bool)  # window i - 1 and i are of one text
+    inner[at] = False
+    after = np.flatnonzero(inner[:n])
+    for i in range(0, len(after), TILE):
+        p = after[i : i + TILE]
+        run = np.stack([x[p - 1, -RUN_UP:], x[p, :RUN_UP]])
+        begin[0][:, p] = states(run[0], m, None, True)[0]
+        begin[1][:, p - 1] = states(run[1], m, None, True)[1]
+    todo = np.arange(n)
+    while len(todo):
+        for i in range(0, len(todo), TILE):
+            w = todo[i : i + TILE]
+            lab, p, end[:, :, w] = label(x[w], m, begin[:, :, w])
+            use(w, lab, p)
+        off = np.abs(end[0][:, after - 1] - begin[0][:, after]).max(axis=0, initial=0) > CLOSE
+        back = np.abs(end[1][:, after] - begin[1][:, after - 1]).max(axis=0, initial=0) > CLOSE
+        begin[0][:, after[off]] = end[0][:, after[off] - 1]
+        begin[1][:, after[back] - 1] = end[1][:, after[back]]
+        todo = np.unique(np.concatenate([after[off], after[back] - 1]))
 
 
 def pooled(raw: np.ndarray, offs: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -104,16 +134,17 @@ def pooled(raw: np.ndarray, offs: np.ndarray, m: Model) -> tuple[np.ndarray, np.
     x, _, at = windows(raw, offs)
     n = len(m.languages)
     total, counts = np.zeros((len(x), n)), np.zeros((len(x), n), np.int64)
-    for i in range(0, len(x), TILE):
-        part = x[i : i + TILE]
-        lab, p = label(part, m)
-        real = (part != _PAD).T
+
+    def use(w: np.ndarray, lab: np.ndarray, p: np.ndarray) -> None:
+        real = (x[w] != _PAD).T
         if not real.all():
             p *= real[:, None, :]
             lab[~real] = -1
-        total[i : i + TILE] = p.sum(axis=0).T
+        total[w] = p.sum(axis=0).T
         for k in range(n):
-            counts[i : i + TILE, k] = (lab == k).sum(axis=0)
+            counts[w, k] = (lab == k).sum(axis=0)
+
+    read(x, at, m, use)
     docs = np.stack([K.sums(total[:, k], at) for k in range(n)], axis=1)
     return docs / np.maximum(np.diff(offs), 1)[:, None], np.stack([K.sums(counts[:, k], at) for k in range(n)], axis=1)
 
@@ -181,29 +212,31 @@ def train(x: np.ndarray, y: np.ndarray, languages: tuple[str, ...], hidden: int
     return Model(languages, *(p.astype(np.float32) for p in params))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, fit_windows: int = FIT_WINDOWS) -> Model | None:
-    """Trained on the labelled documents with the smallest hashes of doc_id, equally many of each language at most."""
-    h = F.xxhash64(F.col(f"`{id_col}`").cast("long"))
-    given = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), h.alias("h")).where("doc_id is not null and lang is not null and lang <> ''")
-    names = [r["lang"] for r in given.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, fit_stretches: int = FIT_STRETCHES) -> Model | None:
+    """Trained on the labelled documents with the smallest hashes of doc_id, equally many of each language at most; of more than ``fit_rows`` languages, on the most frequent."""
+    of = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null and lang <> '' and text <> ''")
+    given = of.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    names = [r["lang"] for r in given.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(fit_rows).collect()]
     if not names:
         return None
-    each = max(1, fit_rows // len(names))
-    chosen = [r["doc_id"] for n in names for r in given.where(F.col("lang") == n).select("doc_id", "h").distinct().orderBy("h", "doc_id").limit(each).collect()]
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("text <> '' and lang <> ''")
+    # only the first rows of each partition go into a language's window
+    first = W.partitionBy("lang").orderBy("h", "doc_id")
+    ranked = given.where(F.col("lang").isin(names)).withColumn("k", F.dense_rank().over(first)).where(F.col("k") <= max(1, fit_rows // len(names)))
+    chosen = ranked.select("doc_id", "lang").distinct().limit(2 * fit_rows)
+    wanted = docs.sparkSession.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, lang string")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, raw, offs in K.each_group(b.column(1)):
-                x, _, at = windows(raw, offs)
-                keep = [np.unique(np.linspace(a, z - 1, fit_windows).astype(int)) for a, z in zip(at, at[1:]) if z > a]
+                x, _, at = windows(raw, offs, FIT_BYTES)
+                keep = [np.unique(np.linspace(a, z - 1, fit_stretches).astype(int)) for a, z in zip(at, at[1:]) if z > a]
                 k = np.concatenate(keep) if keep else np.zeros(0, int)
                 doc = np.searchsorted(at, k, "right") - 1
                 part = [b.column(c).slice(lo, hi - lo).take(pa.array(doc)) for c in (0, 2)]
                 yield pa.RecordBatch.from_arrays([*part, pa.array(k - at[doc]), pa.array([r.tobytes() for r in x[k]], pa.binary())], names=["doc_id", "lang", "k", "x"])
 
-    got = rows.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "lang").mapInArrow(cut, "doc_id long, lang string, k long, x binary").dropDuplicates(["doc_id", "k"]).collect()
+    got = of.join(F.broadcast(wanted), ["doc_id", "lang"]).select("doc_id", "text", "lang").mapInArrow(cut, "doc_id long, lang string, k long, x binary")
+    got = got.groupBy("doc_id", "lang", "k").agg(F.min("x").alias("x")).collect()
     got.sort(key=lambda r: (r["lang"], r["doc_id"], r["k"]))
     languages = tuple(sorted({r["lang"] for r in got}))
     if not languages:
@@ -238,9 +271,14 @@ def segments(text: str, model: Model) -> list[tuple[int, int, str]]:
     raw = np.frombuffer(text.encode(), np.uint8)
     if not len(raw):
         return []
-    x, first, _ = windows(raw, np.array([0, len(raw)]))
-    lab, _ = label(x, model)
-    flat = lab.T.ravel()[: len(raw)]
+    x, _, at = windows(raw, np.array([0, len(raw)]))
+    all_ = np.zeros(x.shape, np.int64)
+
+    def use(w: np.ndarray, lab: np.ndarray, p: np.ndarray) -> None:
+        all_[w] = lab.T
+
+    read(x, at, model, use)
+    flat = all_.ravel()[: len(raw)]
     cut = np.concatenate([[0], np.flatnonzero(flat[1:] != flat[:-1]) + 1, [len(flat)]])
     return [(int(a), int(z), model.languages[flat[a]]) for a, z in zip(cut, cut[1:])]
 
