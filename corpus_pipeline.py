@@ -3,7 +3,11 @@
 Counted as part of the subpackage ``llm``. Every stage takes (spark, docs, sf_dir) and
 returns a DataFrame; all but the last return the columns of ``documents``. Texts
 without a word go in the first stage; null sources and languages are categories of
-their own in the last; rows without a doc_id are never near duplicates.
+their own in the last; rows without a doc_id are never near duplicates. Repeated rows are
+kept or left together, but in the second stage rows of one doc_id are one document. Texts of any length are
+read whole. What equals a threshold is kept, and of a group of near duplicates the smallest doc_id stays, so nothing is decided by chance.
+Columns besides those of documents go through, whatever their names. Of an empty table nothing is left.
+A stage's table is removed once the next one is written.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm import mixing, pii, quality, simhash, suffix
-from quillgraph.llm.common import cut, table
+from quillgraph.llm.common import cut, forget, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +57,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    last = None
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        if last is not None:
+            forget(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -19,7 +19,8 @@ on the driver; more are raked as a table, a written copy a round, by the same su
 
 Defined results. A null source, language or topic is a category of its own. A null
 or empty text has no tokens and the probability of its cell; a cell without
-tokens has probability 0. A null doc_id draws as the empty string. A clashing
+tokens has probability 0. A null doc_id draws as the empty string. Repeated rows are drawn or left alike. A draw that equals
+the probability is left. Texts count at their whole length. Of an empty table nothing is drawn. A clashing
 column of the input is kept and ours is left out where results are joined to it.
 """
 
@@ -137,6 +138,7 @@ def _rates_as_table(c: DataFrame, keep: float, rounds: int, powers: dict[str, fl
         if last is not None:
             forget(last)
         last = w
+    forget(*goals.values())
     want, p = keep * total, F.lit(0.0)
     whole = F.col("tokens") == 0
     for _ in range(CLIPS):
@@ -145,6 +147,8 @@ def _rates_as_table(c: DataFrame, keep: float, rounds: int, powers: dict[str, fl
             break
         p = F.when(whole, 1.0).otherwise(F.least(F.lit(1.0), F.col("w") * (max(0.0, want - taken) / free) / F.col("tokens")))
         w = cut(w.withColumn("p", p))
+        forget(last)
+        last = w
         whole = (F.col("p") >= 1) | (F.col("tokens") == 0)
     if "p" not in w.columns:
         w = w.withColumn("p", F.lit(0.0))
@@ -155,14 +159,18 @@ def rates(docs: DataFrame, p: Parts | None = None, keep: float = KEEP, rounds: i
     """(source, lang, topic, weight, p) of every cell."""
     c = cut(cells(docs, p or parts()))
     if c.count() > driver_cells:
-        return _rates_as_table(c, keep, rounds, powers, targets)
-    return docs.sparkSession.createDataFrame(_rates_on_driver(c.collect(), keep, rounds, powers, targets), "source string, lang string, topic string, weight double, p double")
+        made = _rates_as_table(c, keep, rounds, powers, targets)
+    else:
+        made = docs.sparkSession.createDataFrame(_rates_on_driver(c.collect(), keep, rounds, powers, targets), "source string, lang string, topic string, weight double, p double")
+    forget(c)
+    return made
 
 
 def _with_rates(docs: DataFrame, p: Parts, id_col: str, how: dict) -> DataFrame:
     """``docs`` with the private columns __source, __lang, __topic, __tokens, __p; the cells are few, so their side of the join is broadcast if its size allows."""
     r = rates(docs, p, **how).select(*(F.col(d).alias(f"__{d}") for d in DIMS), F.col("p").alias("__p"))
-    small = r.count() * 200 < BROADCAST_BYTES
+    size = r.agg(F.count("*"), F.sum(sum((F.octet_length(f"__{d}") for d in DIMS), F.lit(0)))).first()
+    small = size[0] * 64 + (size[1] or 0) <= BROADCAST_BYTES
     mine = docs.select("*", *(c.alias(f"__{n}") for n, c in zip((*DIMS, "tokens"), p)))
     return mine.join(F.broadcast(r) if small else r, [f"__{d}" for d in DIMS]).where(draw(id_col) < F.col("__p"))
 

@@ -12,8 +12,9 @@ document. A document is kept if its score is at least
 ``KEEP_FROM``, which leans to keeping: a clean document lost costs more than a poor one kept.
 
 Defined results. A null or empty text, or one without a word, has no score and is
-not kept. Repeated rows are each judged, and all alike. If no document has a word,
-nothing is kept. Only the named columns are read.
+not kept. Rows without an id are judged like others, but not fitted on. Repeated rows are each judged, and all alike. A score of exactly ``KEEP_FROM`` is kept.
+Of rows that share a doc_id, one is fitted on. Texts of any length are read whole. If no document has a word,
+nothing is kept, and of an empty table there is no result. Only the named columns are read; ``keep_good`` keeps all.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import kernel as K
-from quillgraph.llm.common import cut, texts
+from quillgraph.llm.common import cut, forget, texts
 
 #: Documents that the scorer is fitted on, at most; those with the smallest hashes of doc_id.
 FIT_ROWS = 4000
@@ -52,7 +53,8 @@ class Model(NamedTuple):
 
 
 def _spread(flag: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    c = np.concatenate([[0], np.cumsum(flag, dtype=np.int64)])
+    c = np.zeros(len(flag) + 1, np.int32)
+    np.cumsum(flag, out=c[1:])
     return c[ends] - c[starts]
 
 
@@ -208,6 +210,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_row
     pats = cut(patterns_of(docs, id_col, text_col))
     seen = pats.where("words > 0").groupBy("pattern").agg(F.count("*").alias("n")).collect()  # 3 ** 9 rows at most
     if not seen:
+        forget(pats)
         return Model(0.0, np.ones((len(LABELLERS), 3, 2)), np.zeros(dims), -1.0)
     seen.sort(key=lambda r: r["pattern"])
     codes = np.array([r["pattern"] for r in seen])
@@ -218,6 +221,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_row
     h = F.xxhash64("doc_id")
     ids = [pats.where("words > 0 and doc_id is not null").where(side).select("doc_id", h.alias("h")).distinct().orderBy("h", "doc_id").limit(fit_rows // 2) for side in (good, ~good)]
     wanted = docs.sparkSession.createDataFrame([(r["doc_id"],) for part in ids for r in part.collect()] or [(-1,)], "doc_id long")
+    forget(pats)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = 3 ** np.arange(len(LABELLERS))
@@ -227,7 +231,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_row
                 x = _means(*features(raw, offs, dims), dims).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(words), pa.array((v @ base).astype(np.int32)), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "words", "pattern", "x"])
 
-    rows = texts(docs, id_col, text_col).join(F.broadcast(wanted), "doc_id").mapInArrow(run, "doc_id long, words long, pattern int, x binary").where("words > 0").dropDuplicates(["doc_id"]).collect()
+    rows = texts(docs, id_col, text_col).join(F.broadcast(wanted), "doc_id").mapInArrow(run, "doc_id long, words long, pattern int, x binary").where("words > 0").groupBy("doc_id").agg(F.min(F.struct("pattern", "x")).alias("r")).select("doc_id", "r.*").collect()
     rows.sort(key=lambda r: r["doc_id"])
     if not rows:
         return Model(share, table, np.zeros(dims), 1.0 if share >= 0.5 else -1.0)
@@ -240,8 +244,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_row
 
 def scores(raw: np.ndarray, offs: np.ndarray, model: Model) -> np.ndarray:
     """Probability of good by document; NaN without a word."""
-    f, at = features(raw, offs, len(model.weights))
-    z = K.sums(model.weights[f], at) / (np.diff(at) / 4 + SHRINK) + model.bias
+    if len(offs) == 2 and len(raw) > 4 * K.GROUP:  # a long text by itself: in parts, each with the token before it
+        s, e, _ = K.spans(raw, offs, _TOKEN)
+        total, step = 0.0, max(1, len(s) * K.GROUP // len(raw))
+        for k in range(0, len(s), step):
+            lo, hi = max(0, k - 1), min(len(s), k + step)
+            part = raw[s[lo] : e[hi - 1]]
+            total += float(model.weights[features(part, np.array([0, len(part)]), len(model.weights))[0][4 * (k - lo) :]].sum())
+        z = np.array([total / (len(s) + SHRINK) + model.bias])
+    else:
+        f, at = features(raw, offs, len(model.weights))
+        z = K.sums(model.weights[f], at) / (np.diff(at) / 4 + SHRINK) + model.bias
     words = K.sums(K.WORD[raw], offs)
     return np.where(words > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), np.nan)
 

@@ -17,7 +17,8 @@ with the corpus, the memory of a task doesn't, and three numbers reach the drive
 
 Defined results. A null or empty text, or one without a token, has no score and is not
 kept. Without trusted documents every score is 0 and everything with a token is kept.
-Repeated rows count and are judged each. Labels other than 0 and 1, null ids and labels
+Repeated rows count and are judged each, rows without an id too. A score of exactly ``LEAST`` is kept. Texts of any length
+are read whole. Of an empty table there is no result. Labels other than 0 and 1, null ids and labels
 of unknown documents are left out; a document labelled both ways is not trusted. Only
 the named columns are read.
 """

@@ -14,8 +14,10 @@ An item shorter than ``min_words`` words matches as a whole, if it has at least
 beyond ``BROADCAST_BYTES`` of text are taken in slices, each a scan of its own.
 
 Defined results. Null and empty texts and items match nothing. Repeated rows and
-repeated items repeat their matches. A document is affected if it has a match, and
-each row is judged by its own text. Only the named columns are read.
+repeated items repeat their matches; an item without an id matches without one. A document is affected if it has a match, and
+each row, with an id or without, is judged by its own text. A text of more than ``SHARD`` bytes is searched in shards that overlap by the
+longest item, so no match is lost or found twice. Several matches at one place are all reported, so there are no ties. Without documents or items there
+are no matches. Only the named columns are read; ``decontaminate`` keeps all.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ MATCHES = "doc_id long, item_id long, words int, start int, `end` int, item_word
 class Items(NamedTuple):
     """The suffixes of all items: word hashes with a gap after each item, and for each suffix its first word, its item and how many words must match."""
 
-    ids: np.ndarray
+    ids: list[int | None]
     words: np.ndarray
     first: np.ndarray
     item: np.ndarray
@@ -53,7 +55,7 @@ def _hashes(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return K.hashes(raw, s, e) | np.uint64(1 << 44), s, e, toks  # bit 44 keeps every symbol above the gap's 0
 
 
-def item_suffixes(rows: list[tuple[int, str | None]], min_words: int = MIN_WORDS, least_item_words: int = LEAST_ITEM_WORDS) -> Items:
+def item_suffixes(rows: list[tuple[int | None, str | None]], min_words: int = MIN_WORDS, least_item_words: int = LEAST_ITEM_WORDS) -> Items:
     raw, offs = K.buffers(pa.array([t or "" for _, t in rows], pa.large_string()))
     h, _, _, toks = _hashes(raw, offs)
     n = np.diff(toks)
@@ -65,8 +67,7 @@ def item_suffixes(rows: list[tuple[int, str | None]], min_words: int = MIN_WORDS
     size = np.repeat(n, n)
     need = np.minimum(min_words, size)
     take = (within + need <= size) & (size >= least_item_words)
-    ids = np.array([i for i, _ in rows], np.int64)
-    return Items(ids, words, at[take], item[take], within[take], need[take], int(n.max(initial=0)))
+    return Items([i for i, _ in rows], words, at[take], item[take], within[take], need[take], int(n.max(initial=0)))
 
 
 def suffix_array(sym: np.ndarray, deep: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +123,22 @@ def _bound(sym: np.ndarray, sa: np.ndarray, lo: np.ndarray, hi: np.ndarray, d: i
         hi = np.where(open_ & ~up, mid, hi)
 
 
-def search(raw: np.ndarray, offs: np.ndarray, items: Items) -> list[tuple[int, int, int, int, int, int]]:
+def search(raw: np.ndarray, offs: np.ndarray, items: Items, shard: int = SHARD) -> list[tuple[int, int, int, int, int, int]]:
+    """Every match of a group of documents; one of over ``shard`` bytes, a group by itself, goes in overlapping shards."""
+    if len(offs) > 2 or len(raw) <= shard or not len(items.first):
+        return _search(raw, offs, items)
+    s, e, _ = K.spans(raw, offs)
+    out: list[tuple[int, int, int, int, int, int]] = []
+    step = max(1, len(s) * shard // len(raw))
+    for k in range(0, len(s), step):
+        lo, hi = max(0, k - 1), min(len(s), k + step + items.deepest + 1)  # with the word before, which may extend a match to the left
+        at, end = int(s[lo]), int(s[k + step]) if k + step < len(s) else len(raw)
+        part = raw[at : int(e[hi - 1])]
+        out += [(0, i, n, x + at, y + at, w) for _, i, n, x, y, w in _search(part, np.array([0, len(part)]), items) if s[k] <= x + at < end]
+    return out
+
+
+def _search(raw: np.ndarray, offs: np.ndarray, items: Items) -> list[tuple[int, int, int, int, int, int]]:
     """(document, item, words, first byte, last byte + 1, word in item) of every match of a shard; documents and items by index, bytes in the document."""
     h, s, e, toks = _hashes(raw, offs)
     if not len(h) or not len(items.first):
@@ -180,15 +196,11 @@ def _slices(items: DataFrame, id_col: str, text_col: str, min_words: int, least_
     parts = 1 + size // BROADCAST_BYTES
     for k in range(parts):
         some = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) == k)
-        got = sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in some.collect())
+        got = sorted(((r.doc_id, r.text) for r in some.collect()), key=lambda x: (x[0] is None, x[0], x[1]))
         if got:
             yield item_suffixes(got, min_words, least_item_words)
 
 
-def _chars(raw: np.ndarray) -> int:
-    return int(np.count_nonzero((raw & 0xC0) != 0x80))
-
-
 def matches(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, least_item_words: int = LEAST_ITEM_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, words, start, end, item_word): every left-maximal match, with the document's characters it covers."""
     out = None
@@ -200,7 +212,9 @@ def matches(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, least
                 for lo, _, raw, offs in K.each_group(b.column(1), SHARD):
                     found = search(raw, offs, sought)
                     if found:
-                        rows = [(ids[lo + o].as_py(), int(sought.ids[i]), n, _chars(raw[offs[o] : offs[o] + x]), _chars(raw[offs[o] : offs[o] + y]), w) for o, i, n, x, y, w in found]
+                        doc, first, last = (np.array([f[k] for f in found]) for k in (0, 3, 4))
+                        at = K.chars(raw, np.concatenate([offs[doc], offs[doc] + first, offs[doc] + last])).reshape(3, -1)
+                        rows = [(ids[lo + o].as_py(), sought.ids[i], n, x, y, w) for (o, i, n, _, _, w), x, y in zip(found, (at[1] - at[0]).tolist(), (at[2] - at[0]).tolist())]
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), *[pa.int32()] * 4))], names=["doc_id", "item_id", "words", "start", "end", "item_word"])
 
         part = texts(docs, id_col, text_col).mapInArrow(run, MATCHES)
