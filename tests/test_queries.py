@@ -36,3 +36,20 @@ def test_entry(spark):
     assert entry.entry(spark).columns == ["name", "summary", "entity_type", "n"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalog.QUERIES) <= set(entry.queries())
+
+
+def test_a_package_may_be_missing():
+    """Without a package that only the training-text operators need, the queries of the graph are all there."""
+    import os
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.abspath(entry.__file__)))
+    assert got.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.SQL))]
+
+
+@pytest.mark.parametrize("name", ["rrf_hybrid", "context_split_caps"])
+def test_a_top_k_is_no_sort_of_everything(spark, name, capsys):
+    catalog.QUERIES[name](spark, DATA).explain("formatted")
+    assert "TakeOrderedAndProject" in capsys.readouterr().out
