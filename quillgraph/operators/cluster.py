@@ -19,8 +19,8 @@ THRESHOLD, MAX_BATCH, OVERLAP, SAME_NAME = 0.70, 25, 5, 0.99
 def same_name_pairs(rows: DataFrame, key: str = "uuid", name: str = "name") -> DataFrame:
     """(a, b, score): pairs whose trimmed names are equal regardless of case. Each such group hands on a star to its least key, so a name held by thousands stays cheap and connects all the same."""
     k = rows.select(F.col(key).alias("b"), F.lower(F.trim(name)).alias("n")).where("n <> ''")
-    least = F.min("b").over(W.partitionBy("n"))
-    return k.withColumn("a", least).where("a <> b").select("a", "b", F.lit(SAME_NAME).alias("score"))
+    least = k.groupBy("n").agg(F.min("b").alias("a"))  # a hot name is summed up before the shuffle, and its join can be split
+    return k.join(least, "n").where("a <> b").select("a", "b", F.lit(SAME_NAME).alias("score"))
 
 
 def components(nodes: DataFrame, edges: DataFrame, key: str = "uuid") -> DataFrame:

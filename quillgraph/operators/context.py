@@ -23,10 +23,13 @@ def shaped(chunks: DataFrame, kind: str, name: str) -> DataFrame:
 
 def split(chunks: DataFrame, high: float = HIGH, caps: dict[str, int] = CAPS) -> DataFrame:
     """Deduplicated (chunk_id, vector_score, seq) with tier high or low and rank in it, within the caps."""
-    tier = F.when(F.col("vector_score") >= high, "high").otherwise("low")
-    ranked = best_of(chunks, "chunk_id").withColumn("tier", tier)
-    ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("tier").orderBy(F.desc("vector_score"), "first_seq")))
-    return ranked.where(F.expr(f"rank <= case tier when 'high' then {caps['high']} else {caps['low']} end"))
+    rows, out = best_of(chunks, "chunk_id"), None
+    for tier, part in (("high", F.col("vector_score") >= high), ("low", F.coalesce(F.col("vector_score") < high, F.lit(True)))):
+        # a top-k in each partition and one of these; only what is left is ranked
+        some = rows.where(part).orderBy(F.desc("vector_score"), "first_seq").limit(caps[tier]).withColumn("tier", F.lit(tier))
+        some = some.withColumn("rank", F.row_number().over(W.partitionBy("tier").orderBy(F.desc("vector_score"), "first_seq")))
+        out = some if out is None else out.unionByName(some)
+    return out
 
 
 def top_facts(facts: DataFrame, limit: int = CAPS["fact"]) -> DataFrame:

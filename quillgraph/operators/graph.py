@@ -144,7 +144,8 @@ def listing(entities: DataFrame, facts: DataFrame, kind: str | None = None, limi
     if kind:
         some = some.where(F.upper("entity_type") == kind.upper())
     f = scoped(facts, group)
-    per = f.select(F.col("subject_uuid").alias("uuid")).unionByName(f.where("object_uuid <> subject_uuid").select(F.col("object_uuid").alias("uuid"))).groupBy("uuid").agg(F.count("*").alias("n_facts"))
+    ends = f.select(F.col("subject_uuid").alias("uuid")).unionByName(f.where("object_uuid <> subject_uuid").select(F.col("object_uuid").alias("uuid")))
+    per = ends.join(F.broadcast(some.select("uuid")), "uuid", "left_semi").groupBy("uuid").agg(F.count("*").alias("n_facts"))
     return some.join(per, "uuid", "left").select("uuid", "name", "entity_type", F.coalesce("n_facts", F.lit(0)).cast("long").alias("n_facts"))
 
 
@@ -179,6 +180,6 @@ def word_count(entities: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def triples(facts: DataFrame) -> DataFrame:
-    """(triple): facts as N-Triples lines."""
-    iri = lambda c: F.concat(F.lit("<urn:kg:"), F.col(c), F.lit(">"))
+    """(triple): facts as N-Triples lines; identifiers are percent-encoded."""
+    iri = lambda c: F.concat(F.lit("<urn:kg:"), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit(">"))
     return facts.select(F.concat_ws(" ", iri("subject_uuid"), iri("relationship_type"), iri("object_uuid"), F.lit(".")).alias("triple"))

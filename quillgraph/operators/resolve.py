@@ -15,7 +15,8 @@ LIKELY_ENTITY, LIKELY_TOPIC = 0.90, 0.85
 
 
 def candidates(rows: DataFrame, base: DataFrame, limit: int, threshold: float) -> DataFrame:
-    return vector.knn_join(rows, base, limit, threshold)
+    """The most similar rows of the base, but not the row of the same key: what is resolved may be in the base already."""
+    return vector.knn_join(rows, base, limit, threshold, others=True)
 
 
 def registry(new: DataFrame, known: DataFrame, at: float = LIKELY_ENTITY, limit: int = ENTITY["limit"], threshold: float = ENTITY["threshold"]) -> DataFrame:
@@ -66,9 +67,9 @@ def two_stage_topics(hits: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def hint_matches(hints: DataFrame, resolved: DataFrame) -> DataFrame:
-    """(hint, name): one contains the other, regardless of case."""
+    """(hint, name): one contains the other, regardless of case. Hints are those of one question, at most a few."""
     a, b = F.lower("hint"), F.lower("name")
-    return hints.select("hint").join(resolved.select("name"), a.contains(b) | b.contains(a))
+    return resolved.select("name").join(F.broadcast(hints.select("hint")), a.contains(b) | b.contains(a)).select("hint", "name")
 
 
 def returned_names(names: DataFrame, cands: DataFrame) -> DataFrame:

@@ -21,7 +21,8 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
+def cosine(a: Column | str, b: Column) -> Column:
+    a = F.col(a) if isinstance(a, str) else a
     n = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
     return F.when((n > 0) & (F.size(a) == F.size(b)), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot(a, b) / n)))
 
@@ -81,8 +82,8 @@ def pairs(rows: DataFrame, threshold: float = 0.7, key: str = "uuid", vector: st
     return at.groupBy("lo", "hi").applyInPandas(meet, f"a {kind}, b {kind}, score double")
 
 
-def knn_join(queries: DataFrame, base: DataFrame, limit: int = 25, threshold: float = 0.5, key: str = "uuid", vector: str = "vector", block: int = BLOCK) -> DataFrame:
-    """(query, match, score, rank): for every query its ``limit`` most similar base rows, then those of at least ``threshold``. Each pair of blocks keeps only its own best ``limit``."""
+def knn_join(queries: DataFrame, base: DataFrame, limit: int = 25, threshold: float = 0.5, key: str = "uuid", vector: str = "vector", block: int = BLOCK, others: bool = False) -> DataFrame:
+    """(query, match, score, rank): for every query its ``limit`` most similar base rows, then those of at least ``threshold``; others: not the row of its own key. Each pair of blocks keeps only its own best ``limit``."""
     nq, nb = (max(1, -(-d.count() // block)) for d in (queries, base))
     q = _blocks(queries, key, vector, "q", nq).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
     m = _blocks(base, key, vector, "m", nb).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
@@ -93,10 +94,12 @@ def knn_join(queries: DataFrame, base: DataFrame, limit: int = 25, threshold: fl
             return pd.DataFrame({"query": np.array([], object), "match": np.array([], object), "score": np.array([], float)})
         right = right.sort_values("m_key", kind="stable")
         s = np.clip(_unit(left["q_vector"]) @ _unit(right["m_vector"]).T, -1, 1)
+        if others:
+            s[left["q_key"].to_numpy(object)[:, None] == right["m_key"].to_numpy(object)[None, :]] = -2.0
         top = np.argsort(-s, axis=1, kind="stable")[:, :limit]
         i = np.repeat(np.arange(len(left)), top.shape[1])
         j = top.ravel()
-        ok = s[i, j] >= threshold
+        ok = s[i, j] >= max(threshold, -1.0)
         return pd.DataFrame({"query": left["q_key"].to_numpy(object)[i[ok]], "match": right["m_key"].to_numpy(object)[j[ok]], "score": s[i[ok], j[ok]]})
 
     got = q.groupBy("q_block", "b").cogroup(m.groupBy("q", "m_block")).applyInPandas(meet, f"query {kq}, match {km}, score double")

@@ -164,10 +164,10 @@ def hybrid_search(spark, d):
 
 
 @query("""select * from (select a.uuid "query", b.uuid "match", round(list_cosine_similarity(a.vector, b.vector), 6) score, cast(row_number() over (partition by a.uuid order by list_cosine_similarity(a.vector, b.vector) desc, b.uuid) as int) rank
-  from vectors a join vectors b on a.vec_id % 2 = 0 and b.vec_id % 2 = 1 and list_cosine_similarity(a.vector, b.vector) >= 0.3) where rank <= 25""")
+  from vectors a join vectors b on a.uuid <> b.uuid and list_cosine_similarity(a.vector, b.vector) >= 0.3) where rank <= 25""")
 def knn_batch_join(spark, d):
     v = star.vectors(spark, d)
-    return vector.knn_join(v.where("vec_id % 2 = 0"), v.where("vec_id % 2 = 1"), 25, 0.3).withColumn("score", F.round("score", 6))
+    return vector.knn_join(v, v, 25, 0.3, others=True).withColumn("score", F.round("score", 6))
 
 
 _PAIRS = "select a.uuid a, b.uuid b, list_cosine_similarity(a.vector, b.vector) score from vectors a join vectors b on a.uuid < b.uuid and list_cosine_similarity(a.vector, b.vector) >= {}"
@@ -214,29 +214,28 @@ def merge_history(spark, d):
 
 
 _BEST = """(select a.uuid, b.uuid "match", list_cosine_similarity(a.vector, b.vector) score, row_number() over (partition by a.uuid order by list_cosine_similarity(a.vector, b.vector) desc, b.uuid) rank
-  from vectors a join vectors b on a.vec_id % 2 = 0 and b.vec_id % 2 = 1)"""
+  from vectors a join vectors b on a.uuid <> b.uuid)"""
 
 
-@query(f"""select v.uuid, x."match", round(x.score, 6) score, x."match" is null is_new from vectors v left join (select * from {_BEST} where rank = 1 and score >= 0.35) x on x.uuid = v.uuid where v.vec_id % 2 = 0""")
+@query(f"""select v.uuid, x."match", round(x.score, 6) score, x."match" is null is_new from vectors v left join (select * from {_BEST} where rank = 1 and score >= 0.35) x on x.uuid = v.uuid""")
 def registry_resolve(spark, d):
     v = star.vectors(spark, d)
-    return resolve.registry(v.where("vec_id % 2 = 0"), v.where("vec_id % 2 = 1"), 0.35, threshold=0.3).withColumn("score", F.round("score", 6))
+    return resolve.registry(v, v, 0.35, threshold=0.3).withColumn("score", F.round("score", 6))
 
 
-@query(f"""select v.uuid, 'known' state from vectors v join {_BEST} x on x.uuid = v.uuid where rank = 1 and score >= 0.35 union all select v.uuid, 'new' from vectors v where v.vec_id % 2 = 0 and v.uuid not in (select uuid from {_BEST} where rank = 1 and score >= 0.35)""")
+@query(f"""select v.uuid, 'known' state from vectors v join {_BEST} x on x.uuid = v.uuid where rank = 1 and score >= 0.35 union all select v.uuid, 'new' from vectors v where v.uuid not in (select uuid from {_BEST} where rank = 1 and score >= 0.35)""")
 def registry_split(spark, d):
     v = star.vectors(spark, d)
-    new = v.where("vec_id % 2 = 0")
-    r = resolve.registry(new, v.where("vec_id % 2 = 1"), 0.35, threshold=0.3)
-    return resolve.remapping(r).select(F.col("old_uuid").alias("uuid"), F.lit("known").alias("state")).unionByName(resolve.only_new(new, r).select("uuid", F.lit("new").alias("state")))
+    r = resolve.registry(v, v, 0.35, threshold=0.3)
+    return resolve.remapping(r).select(F.col("old_uuid").alias("uuid"), F.lit("known").alias("state")).unionByName(resolve.only_new(v, r).select("uuid", F.lit("new").alias("state")))
 
 
-@query(f"""select spelling, x."match" uuid, round(x.score, 6) score from (select uuid, ' ' || upper('t' || uuid) spelling from vectors where vec_id % 2 = 0 union all select uuid, 't' || uuid from vectors where vec_id % 2 = 0) s
+@query(f"""select spelling, 't' || x."match" uuid, round(x.score, 6) score from (select uuid, ' ' || upper('t' || uuid) spelling from vectors union all select uuid, 't' || uuid from vectors) s
   left join (select * from {_BEST} where rank = 1 and score >= 0.35) x on x.uuid = s.uuid""")
 def topic_fanout(spark, d):
     v = star.vectors(spark, d)
-    asked = v.where("vec_id % 2 = 0").select(F.explode(F.expr("array(concat(' ', upper(concat('t', uuid))), concat('t', uuid))")).alias("name"), "vector")
-    return resolve.topics(asked, v.where("vec_id % 2 = 1"), 0.35, threshold=0.3).withColumn("score", F.round("score", 6))
+    asked = v.select(F.explode(F.expr("array(concat(' ', upper(concat('t', uuid))), concat('t', uuid))")).alias("name"), "vector")
+    return resolve.topics(asked, v.withColumn("uuid", F.concat(F.lit("t"), "uuid")), 0.35, threshold=0.3).withColumn("score", F.round("score", 6))
 
 
 @query("""select 't' || replace(p_name, ' ', '-') uuid, n as name, n || ': parts like ' || p_name as "text" from (select distinct p_name from part), unnest([p_name, upper(p_name)]) u(n)""")
@@ -386,20 +385,28 @@ def wc_by_type(spark, d):
     return graph.word_count(star.entities(spark, d), star.facts(spark, d))
 
 
-@query(f"""select uuid, round(sum(1.0 / (60 + rank)), 9)::double score from (select uuid, row_number() over (order by {_COS} desc, uuid) rank from vectors union all select uuid, row_number() over (order by label, uuid) from vectors) group by uuid""")
+@query(f"""select uuid, round(sum(1.0 / (60 + rank)), 9)::double score from (select * from (select uuid, row_number() over (order by {_COS} desc, uuid) rank from vectors) where rank <= 100
+  union all select * from (select uuid, row_number() over (order by label, uuid) rank from vectors) where rank <= 100) group by uuid""")
 def rrf_hybrid(spark, d):
+    """Two searches give their best hundred each, which are fused."""
     v = star.vectors(spark, d)
-    scored = vector.knn(v, _first(spark, d), v.count(), -1.0)
-    a = scored.select("uuid", F.row_number().over(W.orderBy(F.desc("score"), "uuid")).alias("rank"))
-    b = v.select("uuid", F.row_number().over(W.orderBy("label", "uuid")).alias("rank"))
+    a = vector.knn(v, _first(spark, d), 100, -1.0).select("uuid", F.row_number().over(W.orderBy(F.desc("score"), "uuid")).alias("rank"))
+    b = v.select("uuid", "label").orderBy("label", "uuid").limit(100).select("uuid", F.row_number().over(W.orderBy("label", "uuid")).alias("rank"))
     return vector.fused(a, b).select("uuid", F.round("score", 9).alias("score"))
 
 
+@query(f"select uuid, round({_COS}, 6) score from vectors where label in (1, 4) and {_COS} >= 0.05 order by {_COS} desc, uuid limit 20")
+def knn_filtered(spark, d):
+    """Search among the rows that a filter leaves, before any similarity is computed."""
+    v = star.vectors(spark, d)
+    return vector.among(v, v.where("label in (1, 4)"), _first(spark, d), 20, 0.05).select("uuid", F.round("score", 6).alias("score"))
+
+
 @query(f"select chunk_uuid, max(round(score, 6)) score from (select chunk_uuid, {_COS} score from facts f join vectors v on v.uuid = {_VF} where object_type = 'entity') where chunk_uuid <> '' group by chunk_uuid")
 def global_chunk_search(spark, d):
     v = star.vectors(spark, d)
     n = v.count()
-    scores = vector.knn(v, _first(spark, d), n, -1.0).select(F.col("uuid").alias("v"), "score")
+    scores = v.select(F.col("uuid").alias("v"), vector.cosine("vector", F.array(*map(F.lit, _first(spark, d)))).alias("score"))
     f = star.facts(spark, d).where("object_type = 'entity'").select("chunk_uuid", F.expr(f"concat('v', cast(substr(object_uuid, 2) as bigint) % {n})").alias("v"))
     return context.global_chunks(f.join(scores, "v")).select("chunk_uuid", F.round("score", 6).alias("score"))
 
@@ -425,7 +432,7 @@ def document_dates(spark, d):
     return star.table(spark, d, "part").select("p_partkey", text.document_date(F.lit(2023), F.col("p_size"), F.expr("p_partkey % 31 + 1")).alias("date"))
 
 
-@query("select '<urn:kg:' || subject_uuid || '> <urn:kg:' || relationship_type || '> <urn:kg:' || object_uuid || '> .' triple from facts")
+@query("select '<urn:kg:' || url_encode(subject_uuid) || '> <urn:kg:' || url_encode(relationship_type) || '> <urn:kg:' || url_encode(object_uuid) || '> .' triple from facts")
 def export_triples(spark, d):
     return graph.triples(star.facts(spark, d))
 

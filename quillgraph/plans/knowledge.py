@@ -108,9 +108,9 @@ class KnowledgeBase:
         """The vocabulary of topics (uri, label, definition, synonyms) in place of the one before; spellings have vectors of their own."""
         spelled = resolve.ontology(rows)
         vocab = Store(self.spark, self.config.path, "ontology")
-        vocab.merge("topics", rows.select(F.element_at(F.split("uri", "/"), -1).alias("uuid"), F.col("label").alias("name"), "definition"))
+        vocab.replace("topics", rows.select(F.element_at(F.split("uri", "/"), -1).alias("uuid"), F.col("label").alias("name"), "definition"))
         vectors = embedded(spelled, "text", self.embeddings).select(content_id(F.col("uuid"), topic_key(F.col("name"))).alias("uuid"), "name", F.col("text").alias("definition"), "vector")
-        vocab.merge("vectors_topics", vectors)
+        vocab.replace("vectors_topics", vectors)
 
     # search
 

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of this machine only where none is set, as in local tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "quillgraph-shared")).rstrip("/")
+    """The folder of spark.checkpoint.dir. Where none is set, a local session, as in tests, has one of this machine; a cluster has an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    return (at or "file://" + os.path.join(tempfile.gettempdir(), "quillgraph-shared")).rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:

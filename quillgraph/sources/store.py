@@ -98,6 +98,12 @@ class Store:
         new = rows.dropDuplicates([key]).join(self.read(table).select(key), key, "left_anti")
         self.append(table, new)
 
+    def replace(self, table: str, rows: DataFrame) -> None:
+        """This tenant's rows of a table, in place of those it had; other tenants keep theirs. The rows must not be read from the table."""
+        with self.lock():
+            self.shaped(table, rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("group_id").parquet(self.path(table))
+        self.spark.catalog.refreshByPath(self.path(table))
+
     def update_summaries(self, changes: DataFrame) -> None:
         """Applies (uuid, summary) in one rewrite: written beside the table, then swapped in."""
         at, new, old = self.path("entities"), self.path(f"entities.new-{uuid.uuid4().hex}"), self.path(f"entities.old-{uuid.uuid4().hex}")

@@ -76,6 +76,9 @@ def test_ontology(kb, spark, tmp_path):
     assert kb.store.read("vectors_topics", "ontology").count() == 2
     assert kb.search_topics("CPI: rising prices").first()["name"] == "CPI"
     assert kb.store.read("topics").count() == 0
+    kb.load_ontology(spark.createDataFrame([("https://example.org/gdp", "GDP", "what is produced", ["Output"])], "uri string, label string, definition string, synonyms array<string>"))
+    assert [tuple(r) for r in kb.store.read("topics", "ontology").select("uuid", "definition").collect()] == [("gdp", "what is produced")]
+    assert {r["name"] for r in kb.store.read("vectors_topics", "ontology").collect()} == {"GDP", "Output"}
 
 
 def test_store(spark, tmp_path):
