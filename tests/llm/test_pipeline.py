@@ -32,6 +32,13 @@ def test_stages_return_documents(spark):
     assert len(corpus_pipeline.STAGES) == 5
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, DATA).columns == docs.columns
+    # nulls in every column, repeated rows, a long text and columns whose names clash with those of the operators
+    odd = docs.limit(30).unionByName(docs.limit(5)).selectExpr("*", "1 as score", "'x' as topic", "true as keep").unionByName(
+        spark.createDataFrame([(None, None, None, None, None), (None, "a text of plain words without an id, for all to read", None, None, None), (-5, "Of the thing that was seen. " * 20_000, "en", "s", 1)], docs.schema).selectExpr("*", "1 as score", "'x' as topic", "true as keep")
+    )
+    for _, stage in corpus_pipeline.STAGES:
+        left = stage(spark, odd, DATA)
+        assert left.columns[: len(odd.columns)] == odd.columns and 0 < left.count() <= odd.count()
     empty = spark.createDataFrame([], docs.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, DATA).count() == 0
