@@ -154,7 +154,7 @@ class KnowledgeBase:
         cands = written(self.search_entities(asked, cfg.query_entity_candidates, cfg.query_entity_threshold).select("uuid", "name", "summary", "score"))
         if hints:
             asked_for = self.spark.createDataFrame([(h,) for h in hints], "hint string")
-            names = {r["name"] for r in resolve.hint_matches(asked_for, entities.select("name")).limit(50).collect()}
+            names = {r["name"] for r in resolve.hint_matches(asked_for, entities.select("name")).groupBy("name").count().orderBy(F.length("name"), "name").limit(50).collect()}  # the shortest names
         else:
             names = {r["name"] for r in cands.orderBy(F.desc("score"), "uuid").limit(3).collect()}
         parts, facts = [], graph.facts_for_entities(s.read("facts"), names, 100) if names else None

@@ -20,9 +20,10 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One fact for each (order, line, part, supplier); of repeated keys the least of the other columns. Lines whose number is a multiple of 7 state the part's type, a topic."""
+    """One fact for each (order, line, part, supplier); of repeated keys the least of the other columns. Orders are spread over as many chunks as there are documents. Lines whose number is a multiple of 7 state the part's type, a topic."""
     s, p = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.min("l_returnflag").alias("flag"), F.min("l_shipdate").alias("shipped"))
+    n_chunks = max(table(spark, sf_dir, "documents").count(), 1)  # from the footers of the files
     topic = F.col("l_linenumber") % 7 == 0
     text = lambda c: F.col(c).cast("string")
     return (
@@ -37,7 +38,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(topic, "topic").otherwise("entity").alias("object_type"),
             F.when(F.col("flag") == "R", "RETURNED").otherwise("SUPPLIED").alias("relationship_type"),
             F.date_format("shipped", "yyyy-MM").alias("date_context"),
-            F.concat(F.lit("k"), (F.col("l_orderkey") % 200).cast("string")).alias("chunk_uuid"),
+            F.concat(F.lit("k"), (F.col("l_orderkey") % n_chunks).cast("string")).alias("chunk_uuid"),
             F.when(F.col("l_orderkey") % 10 == 0, "other").otherwise("default").alias("group_id"),
         )
     )
@@ -72,7 +73,7 @@ SQL = """entities as (select 's' || s_suppkey uuid, s_name name, 'organization'
 facts as (select 'f' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey uuid, 's' || l_suppkey subject_uuid, s_name subject_name,
   case when l_linenumber % 7 = 0 then 't' || p_type else 'p' || l_partkey end object_uuid, case when l_linenumber % 7 = 0 then p_type else p_name || ' ' || p_partkey end object_name,
   case when l_linenumber % 7 = 0 then 'topic' else 'entity' end object_type, case when flag = 'R' then 'RETURNED' else 'SUPPLIED' end relationship_type, strftime(shipped, '%Y-%m') date_context,
-  'k' || (l_orderkey % 200) chunk_uuid, case when l_orderkey % 10 = 0 then 'other' else 'default' end group_id
+  'k' || (l_orderkey % (select greatest(count(*), 1) from documents)) chunk_uuid, case when l_orderkey % 10 = 0 then 'other' else 'default' end group_id
   from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, min(l_returnflag) flag, min(l_shipdate) shipped from lineitem group by all) join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey),
 chunks as (select 'k' || doc_id uuid, text content, lang || ' > ' || source header_path, source document_uuid, strftime(date '2024-01-01' + cast(doc_id % 365 as int), '%Y-%m-%d') document_date,
   case when doc_id % 10 = 0 then 'other' else 'default' end group_id from documents),
