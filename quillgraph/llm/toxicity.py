@@ -3,26 +3,31 @@
 Both dictionaries are trained by zstandard (``train_dictionary``) on labelled text. The ordinary one is
 trained on the words of ordinary documents; the toxic one holds the same and, before it, a dictionary
 trained on toxic documents. Trained on these as they are, it would fill with the ordinary words that toxic documents
-mostly consist of: then under 3 % of held-out toxic documents stand out at sf0.1. So its samples are the words of each toxic
-document whose beginnings stand out, and the ordinary samples are the other words: those with beginnings (of ``SHORT`` to
+mostly consist of: then under 3 % of held-out toxic documents stand out at sf0.1. So its samples are the words of toxic
+documents whose beginnings stand out, and the ordinary samples are the other words: those with beginnings (of ``SHORT`` to
 ``LONG`` bytes, blanks included) that occur at least ``CONTRAST`` times as often in toxic text. Distinct contexts are counted,
 so that many copies of one text count once. zstandard itself finds what to keep of the samples, and how.
 
+Every labelled row is counted: Spark counts the words and their contexts over the whole tables. What zstandard is trained on are
+texts that have each word as often as all labelled rows together have contexts of it, in a drawn order: as no match goes
+beyond a word, only frequencies matter. Beyond ``TEXT_BYTES`` they are scaled, and no offered word becomes rarer than one. A dictionary can't hold
+more words than its bytes; zstandard chooses from the most frequent words of ``OFFERED`` times as many bytes, ties by the word.
+
 Every window of every document is compressed with each dictionary. Where nothing toxic occurs both parses are the same;
 where it does, the toxic dictionary saves bytes. The score of a document is the sum of the bytes saved by
 its windows over the square root of their number. Its best run is the most that
 this is for any 1, 2, 4, ... neighbouring windows, so a passage counts alike in short
-and long texts. A document is toxic if either reaches its threshold; both are
-calibrated on labelled documents that are held out from the dictionaries.
+and long texts. A document is toxic if either reaches its threshold. Both are calibrated
+on every row labelled clean: the hash of the text puts each row in one of two halves, and a row is scored with dictionaries
+made of the other half, so copies of a text are held out together. The dictionaries that are used come from both halves.
 
-Bounds of what is fitted, all parameters: ``TOXIC_ROWS`` and ``ORDINARY_ROWS`` documents, those with the smallest hashes of
-doc_id, as long as they come to ``FIT_BYTES`` for a class; dictionaries of ``TOXIC_BYTES`` and ``ORDINARY_BYTES``.
-A match has five bytes at least, so a word of three letters tells nothing by itself.
+The dictionaries have ``TOXIC_BYTES`` and ``ORDINARY_BYTES``. A match has five bytes at least, so a word of three letters tells
+nothing by itself. Of longer words the first ``WINDOW`` bytes are counted, as a window compares few more.
 
 Defined results. A null or empty text scores 0 and is never toxic; without an id it is scored without one. Labels other
 than 0 and 1, and labels of unknown documents, are left out of training; a document labelled both ways is toxic. Without
-toxic labels nothing is toxic. A score that equals its threshold is toxic. Of rows that share a doc_id the
-first text in order is fitted on; repeated rows are each scored, alike. Texts of any length are read whole. An empty table has no
+toxic labels nothing is toxic. A score that equals its threshold is toxic. Of rows that share a doc_id
+each is fitted on and scored, repeated rows alike. Texts of any length are read whole. An empty table has no
 result. Only the named columns are read.
 """
 
@@ -30,8 +35,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -41,16 +47,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import kernel as K
-from quillgraph.llm.common import bounded_sample, texts
+from quillgraph.llm.common import BROADCAST_BYTES, cut, forget, texts
 
-#: Labelled documents used to fit, and their bytes by class, at most: half of them make the dictionaries, half calibrate.
-TOXIC_ROWS, ORDINARY_ROWS, FIT_BYTES = 2000, 4000, 64 << 20
+#: Bytes of the words that zstandard chooses from, for each byte of a dictionary, and of the texts it is trained on.
+OFFERED, TEXT_BYTES = 4, 8 << 20
+#: The halves of the labelled rows that a pair of dictionaries is made of: either one, to calibrate on the other, and both.
+FITS = ((0,), (1,), (0, 1))
 WINDOW, OVERLAP, ORDINARY_BYTES, TOXIC_BYTES = 64, 16, 110_000, 4096
 FALSE_RATE, LEAST = 0.001, 0.75
-#: Lengths of the segments that zstandard picks for either dictionary, of the pieces of them it counts, and bytes of an ordinary sample.
-TOXIC_SEGMENT, ORDINARY_SEGMENT, PIECE, SAMPLE = 40, 64, 6, 4096
+#: Lengths of the segments that zstandard picks for either dictionary, of the pieces of them it counts, and bytes of a sample.
+TOXIC_SEGMENT, ORDINARY_SEGMENT, PIECE, SAMPLE, TOXIC_SAMPLE = 40, 64, 6, 4096, 256
 
-_WORDS = re.compile(rb"[A-Za-z\x80-\xff]+")
+_WORDS = re.compile(rb"([A-Za-z\x80-\xff]{1,%d})[A-Za-z\x80-\xff]*" % WINDOW)
+_GAP = re.compile(rb"[^A-Za-z\x80-\xff]")
 SHORT, LONG = 6, 12
 _WHOLE = re.compile(rb" [A-Za-z\x80-\xff]+\0")
 #: A sample's words end with a byte that no text has, so a match never takes the blank that begins the next word.
@@ -68,28 +77,40 @@ class Model(NamedTuple):
     run: float = math.inf
 
 
-def _contexts(docs: list[bytes]) -> dict[bytes, set[int]]:
-    """The hashes of the words that each word follows."""
-    out: dict[bytes, set[int]] = defaultdict(set)
-    for text in docs:
-        before = b""
-        for w in _WORDS.findall(text):
-            out[w].add(hash(before))
-            before = w
-    return out
-
-
-def _beginning(word: bytes) -> list[bytes]:
-    b = b" " + word + b" "
-    return [b[:n] for n in range(min(SHORT, len(b)), min(len(b), LONG) + 1)]
-
-
-def _beginnings(words: dict[bytes, set[int]]) -> dict[bytes, int]:
-    out: dict[bytes, int] = defaultdict(int)
-    for w, seen in words.items():
-        for g in _beginning(w):
-            out[g] += len(seen)
-    return out
+def _parts(text: bytes, limit: int = K.GROUP) -> Iterator[bytes]:
+    """The text in parts of about ``limit`` bytes that end where a word does."""
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + limit)
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
+
+
+def _seen(batches: Iterator[pa.RecordBatch], most: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """The distinct (word, word before it, class) of rows (text, class), as far as ``most`` entries are held; the empty word follows a hash of each text."""
+    kept: list[set[tuple[bytes, bytes]]] = [set() for _ in range(4)]
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for k, c in enumerate(kept):
+            if c:
+                before, word = zip(*c)
+                yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(before, pa.binary()), pa.array(np.full(len(c), k, np.int32))], names=["word", "before", "class"])
+                c.clear()
+
+    for batch in batches:
+        for lo, hi, raw, offs in K.each_group(batch.column(0)):
+            folded, classes = K.FOLD[raw].tobytes(), batch.column(1).slice(lo, hi - lo).to_pylist()
+            for x, y, k in zip(offs[:-1].tolist(), offs[1:].tolist(), classes):
+                text, before = folded[x:y], b""
+                kept[k].add((blake2b(text, digest_size=8).digest(), b""))
+                for part in _parts(text):
+                    words = _WORDS.findall(part)
+                    kept[k].update(zip([before, *words], words))
+                    before = words[-1] if words else before
+                    if sum(map(len, kept)) >= most:
+                        yield from out()
+    yield from out()
 
 
 def trained(samples: list[bytes], size: int, segment: int) -> bytes:
@@ -103,22 +124,50 @@ def trained(samples: list[bytes], size: int, segment: int) -> bytes:
         return b"".join(w + _END for w, _ in sorted(words.items(), key=lambda c: (c[1], c[0])))[-size:]
 
 
-def dictionaries(toxic: list[bytes], ordinary: list[bytes], toxic_bytes: int = TOXIC_BYTES, ordinary_bytes: int = ORDINARY_BYTES) -> tuple[bytes, bytes]:
-    """(ordinary, toxic) dictionary contents from folded texts; the same if nothing stands out."""
-    t, o = _contexts(toxic), _contexts(ordinary)
-    pt, po = _beginnings(t), _beginnings(o)
-    nt, no = max(1, sum(map(len, t.values()))), max(1, sum(map(len, o.values())))
-    least = max(3, min(12, len(toxic) // 20))
-    strong = {g for g, n in pt.items() if n >= least and n / nt > CONTRAST * (po.get(g, 0) + 0.5) / no}
-    out = {w: any(g in strong for g in _beginning(w)) for w in {*t, *o}}
+def drawn(words: list[bytes], times: list[int], piece: int) -> list[bytes]:
+    """Texts of ``piece`` bytes that have the words in proportion to their times, in an order that is always the same."""
+    n, size = np.array(times, float), np.array([len(w) + 2 for w in words], np.int64)
+    whole = np.maximum(1, np.rint(n * min(1.0, TEXT_BYTES / max(1.0, float((n * size).sum()))))).astype(np.int64)
+    order = np.random.default_rng(0).permutation(np.repeat(np.arange(len(words)), whole))
+    text = b"".join(b" " + words[i] + _END for i in order.tolist())
+    return [text[i : i + piece] for i in range(0, len(text), piece)]
+
+
+def _joined(df: DataFrame, other: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """The join, by broadcast of what is joined if its counted size allows."""
+    return df.join(F.broadcast(other) if other.count() * 64 <= BROADCAST_BYTES else other, on, how)
+
+
+def dictionaries(rows: DataFrame, toxic_bytes: int = TOXIC_BYTES, ordinary_bytes: int = ORDINARY_BYTES) -> list[tuple[bytes, bytes]]:
+    """(ordinary, toxic) dictionary contents for each of ``FITS`` from all rows (text, flag, half); the two are the same if nothing stands out."""
+    pairs = rows.select("text", (F.col("flag") * 2 + F.col("half")).alias("class")).mapInArrow(_seen, "word binary, before binary, class int")
+    pairs = pairs.groupBy("word", F.xxhash64("before").alias("before")).agg(F.bit_or(F.expr("shiftleft(1, class)")).alias("classes"))
+    bits = {f"{kind}{f}": sum(1 << 2 * flag + half for half in fit) for flag, kind in enumerate("ot") for f, fit in enumerate(FITS)}
+    every = cut(pairs.groupBy("word").agg(*(F.count_if(F.col("classes").bitwiseAND(b) > 0).alias(c) for c, b in bits.items())))
+    words = every.where("word != X''")
+    total, texts_of = (x.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in bits)).first() for x in (words, every.where("word = X''")))
+    least = [max(3, min(12, texts_of[f"t{f}"] // 20)) for f in range(len(FITS))]
+
+    beginnings = words.withColumn("g", F.expr(f"explode(transform(sequence(least({SHORT}, length(word) + 2), least(length(word) + 2, {LONG})), n -> substring(concat(X'20', word, X'20'), 1, n)))"))
+    enough = beginnings.where("t2 > 0").groupBy("g").agg(*(F.sum(f"t{f}").alias(f"t{f}") for f in range(len(FITS)))).where(" or ".join(f"t{f} >= {n}" for f, n in enumerate(least))).select("g")
+    strong = _joined(beginnings, enough, "g").groupBy("g").agg(*(F.sum(c).alias(c) for c in bits))
+    strong = strong.select("g", *(((F.col(f"t{f}") >= n) & (F.col(f"t{f}") / max(1, total[f"t{f}"]) > CONTRAST * (F.col(f"o{f}") + 0.5) / max(1, total[f"o{f}"]))).alias(f"loud{f}") for f, n in enumerate(least)))
+    strong = cut(strong.where("loud0 or loud1 or loud2"))
+    loud = _joined(beginnings, strong, "g").groupBy("word").agg(*(F.max(f"loud{f}").alias(f"loud{f}") for f in range(len(FITS))))
+    marked = cut(words.join(loud, "word", "left"))
+
+    def offered(kind: str, f: int, size: int, piece: int) -> list[bytes]:
+        mine = marked.where((F.coalesce(f"loud{f}", F.lit(False)) == (kind == "t")) & (F.col(f"{kind}{f}") > 0)).select("word", F.col(f"{kind}{f}").alias("times"))
+        best = mine.orderBy(F.desc("times"), "word").limit(OFFERED * size // 3).toArrow().to_pydict()  # a word has three bytes at least
+        n = int(np.searchsorted(np.cumsum([len(w) + 2 for w in best["word"]]), OFFERED * size, "right"))
+        return drawn(best["word"][:n], best["times"][:n], piece)
 
-    def sample(text: bytes, which: bool) -> bytes:
-        return b"".join(b" " + w + _END for w in _WORDS.findall(text) if out[w] == which)
-
-    plain = [sample(x, False) for x in ordinary]
-    base = trained([x[i : i + SAMPLE] for x in plain for i in range(0, len(x), SAMPLE)], ordinary_bytes, ORDINARY_SEGMENT)
-    loud = trained([sample(x, True) for x in toxic], toxic_bytes, TOXIC_SEGMENT) if strong else b""
-    return base + _FILL, loud + base + _FILL
+    made = []
+    for f in range(len(FITS)):
+        base = trained(offered("o", f, ordinary_bytes, SAMPLE), ordinary_bytes, ORDINARY_SEGMENT)
+        made.append((base + _FILL, trained(offered("t", f, toxic_bytes, TOXIC_SAMPLE), toxic_bytes, TOXIC_SEGMENT) + base + _FILL))
+    forget(every, strong, marked)
+    return made
 
 
 def compressors(ordinary: bytes, toxic: bytes) -> tuple[zs.ZstdCompressor, zs.ZstdCompressor]:
@@ -155,42 +204,44 @@ def fold(text: str | None) -> bytes:
     return K.FOLD[np.frombuffer((text or "").encode(), np.uint8)].tobytes()
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", flag_col: str = "toxic", toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS, fit_bytes: int = FIT_BYTES) -> Model:
-    """Dictionaries and threshold from at most ``toxic_rows`` + ``ordinary_rows`` labelled documents, chosen by the hash of their id, of ``fit_bytes`` a class."""
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", flag_col: str = "toxic") -> DataFrame:
+    """(text, flag, half) of every row with a label. The labels are broadcast if their counted size allows; else they are joined."""
     given = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{flag_col}`").cast("int").alias("flag")).where("flag in (0, 1) and doc_id is not null")
     given = given.groupBy("doc_id").agg(F.max("flag").alias("flag"))
-    chosen = [(f, [r.doc_id for r in bounded_sample(given.where(F.col("flag") == f), n)]) for f, n in ((1, toxic_rows), (0, ordinary_rows))]
-    spark = docs.sparkSession
-
-    def of(ids: list[tuple[int, int]]) -> DataFrame:
-        wanted = spark.createDataFrame(ids or [(-1, 0)], "doc_id long, flag int")
-        return texts(docs, id_col, text_col).where("text is not null").join(F.broadcast(wanted), "doc_id")
-
-    size = {r.doc_id: r.n for r in of([(i, f) for f, ids in chosen for i in ids]).groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("n")).collect()}
-    bounded: list[tuple[int, int]] = []
-    for f, ids in chosen:
-        room = fit_bytes
-        for i in ids:
-            if i in size and size[i] <= room:
-                room -= size[i]
-                bounded.append((i, f))
-    rows = of(bounded).groupBy("doc_id", "flag").agg(F.min("text").alias("text")).collect()  # rows and bytes are bounded above
-    rows.sort(key=lambda r: r.doc_id)
-    split: dict[tuple[int, int], list[bytes]] = defaultdict(list)
-    for k, r in enumerate(rows):
-        split[r.flag, k % 2].append(fold(r.text))
-    ordinary, toxic = dictionaries(split[1, 0], split[0, 0])
-    if len(toxic) == len(ordinary):
-        return Model(ordinary, toxic, math.inf)
-    pair = compressors(ordinary, toxic)
-    clean = [score(t, *pair) for t in split[0, 1]]
+    rows = _joined(texts(docs, id_col, text_col).where("text is not null"), given, "doc_id")
+    return rows.select("text", "flag", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"))
+
 
-    def bar(values: list[float]) -> float:
-        values.sort(reverse=True)
-        at = values[min(len(values) - 1, int(len(values) * FALSE_RATE))] if values else 0.0
-        return max(LEAST, round(at + 0.01, 6))
+def thresholds(rows: DataFrame, halves: list[tuple[bytes, bytes]]) -> tuple[float, float]:
+    """Bars for the score and the best run that at most ``FALSE_RATE`` of all clean rows exceed, each scored with the dictionaries of the half that it isn't in."""
 
-    return Model(ordinary, toxic, bar([x[0] for x in clean]), bar([x[3] for x in clean]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [compressors(*x) for x in halves]
+        for b in batches:
+            for lo, hi, raw, offs in K.each_group(b.column(0)):
+                folded, half = K.FOLD[raw].tobytes(), b.column(1).slice(lo, hi - lo).to_pylist()
+                found = [score(folded[x:y], *pairs[1 - h]) for x, y, h in zip(offs[:-1].tolist(), offs[1:].tolist(), half)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found]), pa.array([x[3] for x in found])], names=["score", "run"])
+
+    clean = cut(rows.where("flag = 0").select("text", "half").mapInArrow(run, "score double, run double"))
+    n = clean.count()
+
+    def bar(name: str) -> float:
+        at = clean.orderBy(F.desc(name)).limit(int(n * FALSE_RATE) + 1).agg(F.min(name)).first()[0]
+        return max(LEAST, round((at or 0.0) + 0.01, 6))
+
+    found = bar("score"), bar("run")
+    forget(clean)
+    return found
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", flag_col: str = "toxic") -> Model:
+    """Dictionaries and thresholds from every labelled row."""
+    rows = labelled(docs, labels, id_col, text_col, flag_col)
+    *halves, (ordinary, toxic) = dictionaries(rows)
+    if len(toxic) == len(ordinary):
+        return Model(ordinary, toxic, math.inf)
+    return Model(ordinary, toxic, *thresholds(rows, halves))
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

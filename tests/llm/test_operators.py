@@ -547,6 +547,52 @@ def test_toxicity_in_a_long_text(spark):
     assert got == {1: True, 2: False, 3: True}
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """A word that only the last 400 of 2,400 toxic rows have, in the order of the hashes of their ids, is learnt too."""
+    from itertools import product
+
+    from pyspark.sql import functions as F
+
+    order = [r.id for r in spark.range(2400).orderBy(F.xxhash64("id", F.lit(0)), "id").collect()]
+    late = set(order[2000:])
+    plain = ["".join(p) for p in product(("mar", "tel", "vin", "sol"), ("do", "ra", "ne"), ("ku", "pi", "lon"))]
+
+    def text(i):
+        return " ".join(plain[(i * k + k * k) % len(plain)] for k in range(1, 14))
+
+    rows = [(i, f"{text(i)} {'grumblefoot' if i in late else 'wretchling'} {text(i + 7)}") for i in range(2400)] + [(i, text(i)) for i in range(2400, 4800)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = table.selectExpr("doc_id", "cast(doc_id < 2400 as int) toxic")
+    assert sorted(r.doc_id for r in toxicity.toxic_documents(table, labels).collect()) == list(range(2400))
+
+
+def test_toxicity_fit_by_hand(spark, docs, labels):
+    """The words that stand out and both thresholds, against all labelled rows in Python; partitions don't matter."""
+    rows = toxicity.labelled(docs, labels)
+    found = [(toxicity.fold(r.text), r.flag, r.half) for r in rows.collect()]
+    assert len(found) == docs.where("text is not null").join(labels, "doc_id").count()
+    made = toxicity.dictionaries(rows)
+    (ordinary, toxic), pairs = made[2], [set(), set()]
+    for t, f, _ in found:
+        w = re.findall(rb"[a-z\x80-\xff]+", t)
+        pairs[f].update(zip([b"", *w], w))
+    counts = [Counter(b" " + w + b" " for _, w in x) for x in pairs]
+    begin = [Counter() for _ in counts]
+    for c, b in zip(counts, begin):
+        for w, n in c.items():
+            b.update({w[:k]: n for k in range(min(6, len(w)), min(12, len(w)) + 1)})
+    least = max(3, min(12, len({t for t, f, _ in found if f}) // 20))
+    strong = {g for g, n in begin[1].items() if n >= least and n / len(pairs[1]) > 10 * (begin[0][g] + 0.5) / len(pairs[0])}
+    loud = {w[:-1] + b"\0" for w in counts[1] if any(w[:k] in strong for k in range(1, 13))}
+    kept = re.findall(rb" [^\0]+\0", toxic[: -len(ordinary)])  # some are halves of words that zstandard put together
+    assert toxic.endswith(ordinary) and sum(w in loud for w in kept) > 0.5 * len(kept) > 0
+    pair = [toxicity.compressors(*x) for x in made]
+    scores = [toxicity.score(t, *pair[1 - h]) for t, f, h in found if not f]
+    bars = tuple(max(0.75, round(sorted((x[k] for x in scores), reverse=True)[len(scores) // 1000] + 0.01, 6)) for k in (0, 3))
+    model = toxicity.fit(docs.repartition(7), labels.repartition(3))
+    assert model == toxicity.Model(*made[2], *bars)
+
+
 # 8
 
 
