@@ -8,7 +8,8 @@ documents whose beginnings stand out, and the ordinary samples are the other wor
 ``LONG`` bytes, blanks included) that occur at least ``CONTRAST`` times as often in toxic text. Distinct contexts are counted,
 so that many copies of one text count once. zstandard itself finds what to keep of the samples, and how.
 
-Every labelled row is counted: Spark counts the words and their contexts over the whole tables. What zstandard is trained on are
+Every labelled row is counted: the words and their contexts, the words before them by 64 bits of a hash, over the whole tables. Pairs of both
+go packed to blocks that the hashes divide them into, whose number grows with the text; a word with many contexts is in several. What zstandard is trained on are
 texts that have each word as often as all labelled rows together have contexts of it, in a drawn order: as no match goes
 beyond a word, only frequencies matter. Beyond ``TEXT_BYTES`` they are scaled, and no offered word becomes rarer than one. A dictionary can't hold
 more words than its bytes; zstandard chooses from the most frequent words of ``OFFERED`` times as many bytes, ties by the word.
@@ -36,7 +37,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 from typing import NamedTuple
 
@@ -53,12 +54,16 @@ from quillgraph.llm.common import BROADCAST_BYTES, cut, forget, texts
 OFFERED, TEXT_BYTES = 4, 8 << 20
 #: The halves of the labelled rows that a pair of dictionaries is made of: either one, to calibrate on the other, and both.
 FITS = ((0,), (1,), (0, 1))
+#: By the name of a count, the classes that count in it: t0 is toxic rows of the first of ``FITS``, o0 ordinary ones. Class 2 * flag + half is a bit.
+BITS = {f"{kind}{f}": sum(1 << 2 * flag + half for half in fit) for flag, kind in enumerate("ot") for f, fit in enumerate(FITS)}
+#: Bytes of labelled text for each block of pairs.
+SHARE = 16 << 20
 WINDOW, OVERLAP, ORDINARY_BYTES, TOXIC_BYTES = 64, 16, 110_000, 4096
 FALSE_RATE, LEAST = 0.001, 0.75
 #: Lengths of the segments that zstandard picks for either dictionary, of the pieces of them it counts, and bytes of a sample.
 TOXIC_SEGMENT, ORDINARY_SEGMENT, PIECE, SAMPLE, TOXIC_SAMPLE = 40, 64, 6, 4096, 256
 
-_WORDS = re.compile(rb"([A-Za-z\x80-\xff]{1,%d})[A-Za-z\x80-\xff]*" % WINDOW)
+_LETTER = K.UPPER | K.LOWERCASE | K.HIGH
 _GAP = re.compile(rb"[^A-Za-z\x80-\xff]")
 SHORT, LONG = 6, 12
 _WHOLE = re.compile(rb" [A-Za-z\x80-\xff]+\0")
@@ -87,30 +92,140 @@ def _parts(text: bytes, limit: int = K.GROUP) -> Iterator[bytes]:
         at = end
 
 
-def _seen(batches: Iterator[pa.RecordBatch], most: int = 400_000) -> Iterator[pa.RecordBatch]:
-    """The distinct (word, word before it, class) of rows (text, class), as far as ``most`` entries are held; the empty word follows a hash of each text."""
-    kept: list[set[tuple[bytes, bytes]]] = [set() for _ in range(4)]
-
-    def out() -> Iterator[pa.RecordBatch]:
-        for k, c in enumerate(kept):
-            if c:
-                before, word = zip(*c)
-                yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(before, pa.binary()), pa.array(np.full(len(c), k, np.int32))], names=["word", "before", "class"])
-                c.clear()
-
-    for batch in batches:
-        for lo, hi, raw, offs in K.each_group(batch.column(0)):
-            folded, classes = K.FOLD[raw].tobytes(), batch.column(1).slice(lo, hi - lo).to_pylist()
-            for x, y, k in zip(offs[:-1].tolist(), offs[1:].tolist(), classes):
-                text, before = folded[x:y], b""
-                kept[k].add((blake2b(text, digest_size=8).digest(), b""))
-                for part in _parts(text):
-                    words = _WORDS.findall(part)
-                    kept[k].update(zip([before, *words], words))
-                    before = words[-1] if words else before
-                    if sum(map(len, kept)) >= most:
-                        yield from out()
-    yield from out()
+def _pieces(raw: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The group itself; one long text in parts."""
+    if len(raw) <= 2 * K.GROUP:
+        yield raw, offs
+        return
+    for part in _parts(raw.tobytes()):
+        yield np.frombuffer(part, np.uint8), np.array([0, len(part)])
+
+
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The binary values of these sizes that lie one behind the other in ``data``."""
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def _words(raw: np.ndarray, offs: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(folded words, their offsets by document)."""
+    starts, ends, toks = K.spans(raw, offs, _LETTER)
+    ends = np.minimum(ends, starts + WINDOW)
+    edge = np.zeros(len(raw) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+    return _binary(K.FOLD[raw[inside]], ends - starts).dictionary_encode(), toks
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    raw, offs = K.buffers(words)
+    return K.hashes(raw, offs[:-1], offs[1:], K.SAME)
+
+
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted rows begin to differ from the row before."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
+class _Pairs:
+    """Pairs of a word and what is before it, with the classes that have them as bits; ``add`` as they come, ``distinct`` each once."""
+
+    def __init__(self) -> None:
+        self.held, self.n, self.words = [], 0, 0
+
+    def add(self, words: pa.Array, word: np.ndarray, before: np.ndarray, bits: np.ndarray) -> None:
+        self.held.append((words, word.astype(np.int32) + np.int32(self.words), before, bits.astype(np.uint8)))
+        self.n, self.words = self.n + len(word), self.words + len(words)
+
+    def distinct(self, block: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(words, word of each pair, hash of what is before it, bits, block), in the order of the blocks and words. block: what (hashes of the words, hashes before them) belong to."""
+        words, word, before, bits = zip(*self.held)
+        each = pa.concat_arrays(words).dictionary_encode()
+        word, before, bits = each.indices.to_numpy()[np.concatenate(word)], np.concatenate(before), np.concatenate(bits)
+        at = block(_hashes(each.dictionary)[word], before) if block else np.zeros(len(word), np.int32)
+        order = np.lexsort((before, word, at) if block else (before, word))
+        word, before, at = word[order], before[order], at[order]
+        first = _firsts(word, before)
+        self.held, self.n, self.words = [], 0, 0
+        return each.dictionary, word[first], before[first], np.bitwise_or.reduceat(bits[order], first), at[first]
+
+
+def _pack(words: pa.Array, word: np.ndarray, before: np.ndarray, bits: np.ndarray) -> list[bytes]:
+    """Sizes and bytes of the words, how many pairs each has, gaps between their sorted hashes, and bits, all compressed."""
+    new = _firsts(word)
+    raw, offs = K.buffers(words.take(pa.array(word[new])))
+    gaps = np.diff(before, prepend=np.uint64(0))
+    gaps[new] = before[new]
+    c = zs.ZstdCompressor(level=1)
+    planes = (np.diff(offs).astype(np.uint8), raw, np.diff(np.append(new, len(word))).astype(np.uint32), gaps, bits)
+    return [c.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)) for x in planes]
+
+
+def _unpack(packed: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, word of each pair, hash of what is before it, bits) of what ``_pack`` made."""
+    d = zs.ZstdDecompressor()
+    sizes, raw, many, gaps, bits = (np.ascontiguousarray(np.frombuffer(d.decompress(x), np.uint8).reshape(np.dtype(t).itemsize, -1).T).reshape(-1).view(t) for x, t in zip(packed, (np.uint8, np.uint8, np.uint32, np.uint64, np.uint8)))
+    at = np.cumsum(many, dtype=np.int64) - many
+    run = np.cumsum(gaps, dtype=np.uint64)
+    return _binary(raw, sizes), np.repeat(np.arange(len(many)), many), run - np.repeat(run[at] - gaps[at], many), bits
+
+
+def counts(rows: DataFrame, share: int = SHARE, most: int = 1 << 21) -> DataFrame:
+    """(word, for each of ``BITS`` the number of its contexts there) of rows (text, flag, half): how many different words are before it. The empty word has the different texts.
+
+    ``share``: bytes of text for each block that the pairs are divided into; ``most``: pairs that a task holds at once before it sends them.
+    """
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // share))
+    spread = np.uint64(-(-blocks // 8))
+
+    def block(word: np.ndarray, before: np.ndarray) -> np.ndarray:
+        return ((word % np.uint64(blocks) + (before >> np.uint64(32)) % spread) % np.uint64(blocks)).astype(np.int32)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = _Pairs()
+
+        def out() -> pa.RecordBatch:
+            words, word, before, bits, at = pairs.distinct(block)
+            cuts = np.append(_firsts(at), len(at)).tolist()
+            return pa.RecordBatch.from_arrays([pa.array(at[cuts[:-1]]), pa.array([_pack(words, word[x:y], before[x:y], bits[x:y]) for x, y in zip(cuts, cuts[1:])], pa.list_(pa.binary()))], names=["block", "packed"])
+
+        for batch in batches:
+            for lo, hi, raw, offs in K.each_group(batch.column(0)):
+                folded, bits = K.FOLD[raw], np.left_shift(1, batch.column(1).slice(lo, hi - lo).to_numpy()).astype(np.uint8)
+                whole = [blake2b(folded[x:y], digest_size=8).digest() for x, y in zip(offs[:-1].tolist(), offs[1:].tolist())]
+                pairs.add(pa.array([b""], pa.binary()), np.zeros(len(whole), np.int32), np.frombuffer(b"".join(whole), np.uint64), bits)
+                last = np.uint64(0)
+                for part, edges in _pieces(raw, offs):
+                    found, toks = _words(part, edges)
+                    word, n = found.indices.to_numpy().astype(np.int64), len(found.dictionary)
+                    if not n:
+                        continue
+                    before = np.append(n, word[:-1])
+                    before[toks[:-1][np.diff(toks) > 0]] = n
+                    each = np.unique((word * (n + 1) + before) * 256 + np.repeat(bits, np.diff(toks)))
+                    hashes = np.append(_hashes(found.dictionary), last)
+                    pair = each >> 8
+                    pairs.add(found.dictionary, pair // (n + 1), hashes[pair % (n + 1)], each & 255)
+                    last = hashes[word[-1]]
+                    if pairs.n >= most:
+                        yield out()
+        if pairs.n:
+            yield out()
+
+    def add(table: pa.Table) -> pa.Table:
+        pairs = _Pairs()
+        for packed in table.column("packed").to_pylist():
+            pairs.add(*_unpack(packed))
+        words, word, _, bits, _ = pairs.distinct()
+        return pa.table([words, *(pa.array(np.bincount(word[bits & b > 0], minlength=len(words))) for b in BITS.values())], names=["word", *BITS])
+
+    pairs = rows.select("text", (F.col("flag") * 2 + F.col("half")).cast("int").alias("class")).mapInArrow(send, "block int, packed array<binary>")
+    summed = pairs.groupBy("block").applyInArrow(add, f"word binary, {', '.join(f'{c} long' for c in BITS)}")
+    return summed.groupBy("word").agg(*(F.sum(c).alias(c) for c in BITS))
 
 
 def trained(samples: list[bytes], size: int, segment: int) -> bytes:
@@ -140,17 +255,14 @@ def _joined(df: DataFrame, other: DataFrame, on: str, how: str = "inner") -> Dat
 
 def dictionaries(rows: DataFrame, toxic_bytes: int = TOXIC_BYTES, ordinary_bytes: int = ORDINARY_BYTES) -> list[tuple[bytes, bytes]]:
     """(ordinary, toxic) dictionary contents for each of ``FITS`` from all rows (text, flag, half); the two are the same if nothing stands out."""
-    pairs = rows.select("text", (F.col("flag") * 2 + F.col("half")).alias("class")).mapInArrow(_seen, "word binary, before binary, class int")
-    pairs = pairs.groupBy("word", F.xxhash64("before").alias("before")).agg(F.bit_or(F.expr("shiftleft(1, class)")).alias("classes"))
-    bits = {f"{kind}{f}": sum(1 << 2 * flag + half for half in fit) for flag, kind in enumerate("ot") for f, fit in enumerate(FITS)}
-    every = cut(pairs.groupBy("word").agg(*(F.count_if(F.col("classes").bitwiseAND(b) > 0).alias(c) for c, b in bits.items())))
+    every = cut(counts(rows))
     words = every.where("word != X''")
-    total, texts_of = (x.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in bits)).first() for x in (words, every.where("word = X''")))
+    total, texts_of = (x.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in BITS)).first() for x in (words, every.where("word = X''")))
     least = [max(3, min(12, texts_of[f"t{f}"] // 20)) for f in range(len(FITS))]
 
     beginnings = words.withColumn("g", F.expr(f"explode(transform(sequence(least({SHORT}, length(word) + 2), least(length(word) + 2, {LONG})), n -> substring(concat(X'20', word, X'20'), 1, n)))"))
     enough = beginnings.where("t2 > 0").groupBy("g").agg(*(F.sum(f"t{f}").alias(f"t{f}") for f in range(len(FITS)))).where(" or ".join(f"t{f} >= {n}" for f, n in enumerate(least))).select("g")
-    strong = _joined(beginnings, enough, "g").groupBy("g").agg(*(F.sum(c).alias(c) for c in bits))
+    strong = _joined(beginnings, enough, "g").groupBy("g").agg(*(F.sum(c).alias(c) for c in BITS))
     strong = strong.select("g", *(((F.col(f"t{f}") >= n) & (F.col(f"t{f}") / max(1, total[f"t{f}"]) > CONTRAST * (F.col(f"o{f}") + 0.5) / max(1, total[f"o{f}"]))).alias(f"loud{f}") for f, n in enumerate(least)))
     strong = cut(strong.where("loud0 or loud1 or loud2"))
     loud = _joined(beginnings, strong, "g").groupBy("word").agg(*(F.max(f"loud{f}").alias(f"loud{f}") for f in range(len(FITS))))
