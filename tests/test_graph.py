@@ -109,6 +109,40 @@ def test_joins_against_brute_force(spark):
         assert [r["match"] for r in sorted((r for r in got if r["query"] == f"v{i:02d}"), key=lambda r: r["rank"])] == best
 
 
+def test_blocks_of_any_shape(spark):
+    """Repeated keys and vectors, missing, zero and short ones: the blocks give what all pairs give, ties to the lesser key, and links connect what pairs connect."""
+    rng = np.random.default_rng(1)
+    m = np.round(rng.normal(size=(150, 4)), 1)
+    m[100:130] = m[7]
+    rows = [(f"v{k % 140:03d}", r) for k, r in enumerate(m)] + [("zero", [0] * 4), ("none", None), (None, [1] * 4), ("short", [1.0]), ("short2", [2.0])]
+    v = vectors(spark, rows).repartition(3)
+    u = m.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = (u[:, None] * u[None]).sum(axis=2)
+    want = sorted((min(a, b), max(a, b)) for i, (a, _) in enumerate(rows[:150]) for j, (b, _) in enumerate(rows[:i]) if a != b and s[i, j] >= 0.95 - 1e-12) + [("short", "short2")]
+    for block in (20, 1000):
+        pairs = vector.pairs(v, 0.95, block=block)
+        assert sorted((r["a"], r["b"]) for r in pairs.collect()) == sorted(want)
+        nodes = spark.createDataFrame([(k,) for k in {k for k, _ in rows if k}], "uuid string")
+        roots = {(r["uuid"], r["root"]) for r in cluster.components(nodes, pairs).collect()}
+        assert roots == {(r["uuid"], r["root"]) for r in cluster.components(nodes, vector.links(v, 0.95, block=block)).collect()}
+        for limit, others in ((1, True), (3, True), (3, False), (40, True)):
+            got = {}
+            for r in vector.knn_join(v, v, limit, 0.2, block=block, others=others).orderBy("query", "rank").collect():
+                got.setdefault(r["query"], []).append(r["match"])
+            for key in ("v000", "v005", "v007", "v105", "v139"):
+                every = sorted((-s[i, j], b) for i, (a, _) in enumerate(rows[:150]) for j, (b, _) in enumerate(rows[:150]) if a == key and s[i, j] >= 0.2 and not (others and a == b))
+                assert got[key] == [b for _, b in every[:limit]], (key, limit, others, block)
+
+
+def test_blocks_hand_on_little(spark):
+    """Rows go to as many tasks whether there are few thousands or many, and links stay as many as rows however many pairs there are."""
+    assert [vector._block_count(spark.range(n).selectExpr("id uuid", "array(1f, 2f) vector"), "vector", None, 12) for n in (100, 3000, 300_000)] == [1, 12, 12]
+    like = spark.range(3000).selectExpr("cast(id as string) uuid", "array(1f, cast(id % 50 / 1000 as float)) vector")
+    assert vector.links(like, 0.9).count() < 12 * 3000
+    assert {r["root"] for r in cluster.components(like, vector.links(like, 0.9)).select("root").distinct().collect()} == {"0"}
+
+
 def test_deduplicate(spark):
     rows = [("1", 1, "Apple Inc.", "company", "Maker of phones.", [1.0, 0.0, 0.0]), ("2", 2, "AAPL", "company", " ", [0.95, 0.1, 0.0]), ("3", 3, "Google", "company", "Search.", [0.0, 0.0, 1.0]), ("4", 4, "google ", "company", "Ads.", [0.0, 1.0, 0.0])]
     e = spark.createDataFrame(rows, "uuid string, seq long, name string, entity_type string, summary string, vector array<double>")
@@ -119,6 +153,12 @@ def test_deduplicate(spark):
     assert [(r["canonical"], r["member"]) for r in cluster.merge_history(cluster.deduplicate(e)).orderBy("canonical", "position").collect()] == [("1", "1"), ("1", "2"), ("3", "3"), ("3", "4")]
 
 
+def test_deduplicate_lists_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vector, "pairs", None)
+    e = spark.createDataFrame([(str(k), k, f"n{k}", "company", "", [1.0, k % 2 * 5.0]) for k in range(9)], "uuid string, seq long, name string, entity_type string, summary string, vector array<double>")
+    assert {r["uuid"]: len(r["members"]) for r in cluster.deduplicate(e).collect()} == {"0": 5, "1": 4}
+
+
 def test_components_of_a_long_chain(spark):
     n = 40
     nodes = spark.createDataFrame([(f"n{k:02d}",) for k in range(n + 1)], "uuid string")
@@ -154,6 +194,17 @@ def test_resolution(spark):
     assert {x["key"]: x["match"] for x in resolve.picked(decided, cands).collect()} == {"t": "b", "u": None}
 
 
+def test_resolution_asks_for_the_best_alone(spark, monkeypatch):
+    asked = []
+    real = vector.knn_join
+    monkeypatch.setattr(vector, "knn_join", lambda q, b, limit, threshold, **k: asked.append((limit, threshold)) or real(q, b, limit, threshold, **k))
+    v = vectors(spark, [("a", [1, 0]), ("b", [0.9, 0.1]), ("c", [0, 1])])
+    got = {r["uuid"]: r["match"] for r in resolve.registry(v, v, 0.8, threshold=0.3).collect()}
+    assert got == {"a": "b", "b": "a", "c": None} and asked == [(1, 0.8)]
+    got = {r["spelling"]: r["uuid"] for r in resolve.topics(v.withColumnRenamed("uuid", "name"), v, 0.3, threshold=0.8).collect()}
+    assert got == {"a": "b", "b": "a", "c": None} and asked[1:] == [(1, 0.8)]
+
+
 def test_context(spark):
     rows = spark.createDataFrame([("c1", 0.5, 1), ("c2", 0.85, 2), ("c1", 0.8, 3), ("c3", 0.35, 4), ("c4", 0.8, 5)], "chunk_id string, vector_score double, seq int")
     got = context.split(rows).orderBy("tier", "rank").collect()
