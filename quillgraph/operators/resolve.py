@@ -21,7 +21,7 @@ def candidates(rows: DataFrame, base: DataFrame, limit: int, threshold: float) -
 
 def registry(new: DataFrame, known: DataFrame, at: float = LIKELY_ENTITY, limit: int = ENTITY["limit"], threshold: float = ENTITY["threshold"]) -> DataFrame:
     """(uuid, match, score, is_new): each new entity with the known one it is, if its best candidate reaches ``at``."""
-    best = candidates(new, known, limit, threshold).where((F.col("rank") == 1) & (F.col("score") >= at)).select(F.col("query").alias("uuid"), "match", "score")
+    best = candidates(new, known, min(limit, 1), max(threshold, at)).select(F.col("query").alias("uuid"), "match", "score")  # without a model only the first is asked for
     return new.select("uuid").join(best, "uuid", "left").withColumn("is_new", F.col("match").isNull())
 
 
