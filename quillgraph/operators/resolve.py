@@ -44,7 +44,7 @@ def topics(asked: DataFrame, vocabulary: DataFrame, at: float = LIKELY_TOPIC, li
     """(spelling, uuid, score): every original spelling of (name, vector) with its topic; spellings that differ in case and blanks are asked once."""
     keyed = asked.withColumn("key", text.topic_key(F.col("name")))
     one = keyed.groupBy("key").agg(F.min_by("vector", "name").alias("vector")).withColumnRenamed("key", "uuid")
-    best = candidates(one, vocabulary, limit, threshold).where((F.col("rank") == 1) & (F.col("score") >= at)).select(F.col("query").alias("key"), F.col("match").alias("uuid"), "score")
+    best = candidates(one, vocabulary, min(limit, 1), max(threshold, at)).select(F.col("query").alias("key"), F.col("match").alias("uuid"), "score")
     return keyed.select("key", F.col("name").alias("spelling")).distinct().join(best, "key", "left").select("spelling", "uuid", "score")
 
 
