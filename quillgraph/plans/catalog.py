@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text
 from quillgraph.operators import assembly, chunking, cluster, context, graph, resolve, telemetry, vector
 from quillgraph.sources import star
+from quillgraph.sources.shared import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -226,7 +227,7 @@ def registry_resolve(spark, d):
 @query(f"""select v.uuid, 'known' state from vectors v join {_BEST} x on x.uuid = v.uuid where rank = 1 and score >= 0.35 union all select v.uuid, 'new' from vectors v where v.uuid not in (select uuid from {_BEST} where rank = 1 and score >= 0.35)""")
 def registry_split(spark, d):
     v = star.vectors(spark, d)
-    r = resolve.registry(v, v, 0.35, threshold=0.3)
+    r = written(resolve.registry(v, v, 0.35, threshold=0.3))  # read twice, compared once
     return resolve.remapping(r).select(F.col("old_uuid").alias("uuid"), F.lit("known").alias("state")).unionByName(resolve.only_new(v, r).select("uuid", F.lit("new").alias("state")))
 
 

@@ -53,3 +53,8 @@ def test_a_package_may_be_missing():
 def test_a_top_k_is_no_sort_of_everything(spark, name, capsys):
     catalog.QUERIES[name](spark, DATA).explain("formatted")
     assert "TakeOrderedAndProject" in capsys.readouterr().out
+
+
+def test_registry_split_compares_once(spark):
+    """What is resolved is read from a table for both of its states, not compared for each."""
+    assert "MapInArrow" not in (plan := catalog.QUERIES["registry_split"](spark, DATA)._jdf.queryExecution().executedPlan().toString()) and "Pandas" not in plan
