@@ -196,7 +196,7 @@ def _entities_with_vectors(spark: SparkSession, d: str) -> DataFrame:
 @query(_COMP + " select uuid, root from comp")
 def entity_components(spark, d):
     v = star.vectors(spark, d)
-    return cluster.components(v, vector.pairs(v, 0.35))
+    return cluster.components(v, vector.links(v, 0.35))
 
 
 _CANON = _COMP + """, rows as (select v.uuid, root, vec_id, 'Entity ' || v.uuid name, case label % 3 when 0 then 'company' when 1 then 'person' else 'concept' end entity_type, case when vec_id % 4 = 0 then '' else 'About ' || v.uuid end summary from vectors v join comp on comp.uuid = v.uuid)"""
