@@ -126,7 +126,7 @@ def merge_history(groups: DataFrame) -> DataFrame:
 
 def deduplicate(entities: DataFrame, threshold: float = THRESHOLD, max_batch: int = MAX_BATCH, decide: Callable[[list[dict]], list[list[int]]] | None = None) -> DataFrame:
     """Canonical entities of (uuid, seq, name, entity_type, summary, vector)."""
-    e = vector.pairs(entities, threshold).unionByName(same_name_pairs(entities))
+    e = vector.links(entities, threshold).unionByName(same_name_pairs(entities).select("a", "b"))
     roots = components(entities, e)
     if decide is not None:
         parts = verified(entities.join(roots, "uuid"), decide, max_batch)
