@@ -359,9 +359,8 @@ def cost_totals(spark, d):
 
 @query("""select f.uuid, f.subject_uuid, f.object_uuid from facts f where object_type = 'entity' and chunk_uuid in (select uuid from chunks)""")
 def fact_build(spark, d):
-    e, f, _, c, _ = _kg(spark, d)
-    names = assembly.name_map(e.selectExpr("uuid", "name", "uuid seq", "array(upper(name)) aliases"))
-    return assembly.resolve_facts(f.drop("subject_uuid", "object_uuid"), names, c).select("uuid", "subject_uuid", "object_uuid")
+    names = assembly.name_map(star.entities(spark, d).selectExpr("uuid", "name", "uuid seq", "array(upper(name)) aliases"))
+    return star.resolved_facts(spark, d, names, star.chunks(spark, d))
 
 
 @query("select id, from_uuid, from_type, to_uuid, to_type, rel_type, chunk_uuid, fact_id, date_context, group_id from relationships")

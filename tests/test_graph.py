@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text
 from quillgraph.operators import assembly, chunking, cluster, context, graph, resolve, telemetry, vector
+from quillgraph.plans import catalog
+from quillgraph.sources import star
 
 FACT = "uuid string, subject_uuid string, subject_name string, object_uuid string, object_name string, object_type string, relationship_type string, date_context string, chunk_uuid string, group_id string"
 
@@ -83,6 +85,33 @@ def test_facts_need_both_names_and_the_chunk(spark, chunks):
     assert sorted(ids(moved)) == ["Z", "Z", "Z", "a", "a1"]
 
 
+def test_names_are_looked_up_once_a_supplier_and_part(spark, tmp_path, monkeypatch):
+    """Odd lines and names: the same facts as from a look-up for every fact, and no fact is shuffled by a name."""
+    tables = {
+        "supplier": ([(1, "S1"), (2, "S2"), (3, None), (4, "unknown")], "s_suppkey long, s_name string"),
+        "part": ([(1, "nut", "BOLTS"), (2, "NUT", "S2"), (3, None, None), (4, "gone", "none")], "p_partkey long, p_name string, p_type string"),
+        "lineitem": ([(o, n, p, s, "R", None) for o in (0, 1, 2, 3, 9, None) for n in (1, 7, None) for p in (1, 2, 3, 4, 5, None) for s in (1, 2, 3, 4, 5, None)] * 2, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_shipdate timestamp"),
+        "documents": ([(0,), (1,), (1,), (7,)], "doc_id long"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    names = assembly.name_map(spark.createDataFrame([("a", "S1", 1), ("b", "s2", 2), ("c", "nut 1", 3), ("d", "x", 4), ("e", "nut 2", 5)], "uuid string, name string, seq int").withColumn("aliases", F.expr("array(upper(name))")))
+    known = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("concat('k', doc_id) uuid")
+    f = star.facts(spark, str(tmp_path)).drop("subject_uuid", "object_uuid")
+    cols = ["uuid", "subject_uuid", "object_uuid"]
+    want = sorted(map(tuple, assembly.resolve_facts(f, names, known).select(*cols).collect()), key=str)
+    assert {w[2] for w in want} == {"b", "c", "e"} and any(w[0] is None for w in want)
+    for rows in (500_000, 0):
+        monkeypatch.setattr(star, "BROADCAST_ROWS", rows)
+        assert sorted(map(tuple, star.resolved_facts(spark, str(tmp_path), names, known).collect()), key=str) == want
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = catalog.QUERIES["fact_build"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(subject_name" not in plan and "hashpartitioning(object_name" not in plan
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(u, None if v is None else [float(x) for x in v]) for u, v in rows], "uuid string, vector array<float>")
 
