@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Bytes of a block's vectors at most, as doubles; of a packed row, about. Rows that one block holds, and the blocks that more are cut into at least.
 BLOCK_BYTES, PACKED_BYTES, SMALL, GRID = 1 << 26, 1 << 20, 2048, 12
 #: Rows multiplied at once, of either side.
-STRIP, TILE = 512, 4096
+STRIP, TILE = 256, 1024
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -286,14 +286,20 @@ def knn_join(queries: DataFrame, base: DataFrame, limit: int = 25, threshold: fl
                         floor = np.maximum(floor, np.partition(s, len(v) - most, axis=1)[:, len(v) - most] - slack)
                         hit = s >= floor[:, None]
                     i, j = np.divmod(np.flatnonzero(hit), len(v))
-                    got.append((i + x, j + y))
+                    got.append((i, j + y, s[hit]))
                     n += len(i)
-                    if n > 8 * most * len(u):
-                        i, j, s = _best(a, b, cb, *map(np.concatenate, zip(*got, strict=True)), most)
-                        got, n = [(i, j)], len(i)
-                        last = np.flatnonzero(np.bincount(i - x, minlength=len(u)) == most)
-                        floor[last] = np.maximum(floor[last], s[np.searchsorted(i, last + x, "right") - 1] - slack)
-                i, j, s = _best(a, b, cb, *map(np.concatenate, zip(*got, strict=True)), most)
+                    if n > 8 * most * len(u) or y + TILE >= len(b):
+                        i, j, s = map(np.concatenate, zip(*got, strict=True))
+                        o = np.argsort(4.0 * i - s)
+                        first, size = np.searchsorted(i[o], np.arange(len(u))), np.bincount(i, minlength=len(u))
+                        full = np.flatnonzero(size >= most)
+                        floor[full] = np.maximum(floor[full], s[o[first[full] + most - 1]] - slack)
+                        ok = s >= floor[i]
+                        got, n = [(i[ok], j[ok], s[ok])], int(ok.sum())
+                        if n > 4 * most * len(u):  # many equals
+                            i, j, s = _best(a, b, cb, got[0][0] + x, got[0][1], most)
+                            got, n = [(i - x, j, s.astype(np.float32))], len(i)
+                i, j, s = _best(a, b, cb, got[0][0] + x, got[0][1], most)
                 ok = s >= max(threshold, -1.0)
                 if ok.any():
                     yield pa.RecordBatch.from_pydict({"query": keys.take(pa.array(ca[i[ok]])), "match": keys.take(pa.array(cb[j[ok]])), "score": pa.array(s[ok])})
